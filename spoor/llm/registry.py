@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, shard, simhash
 
 QUERIES = {
+    "op1_shard": shard.op1_shard,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_shard": shard.ORACLE_SQL,
+    "op3_decontaminate": decontaminate.ORACLE_SQL,
+}

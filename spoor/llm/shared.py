@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 OWN_DIR = "spark.spoor.shared.dir"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -81,3 +85,47 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     whole = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     out = whole.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
     return out
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, returns: str, work, rows: int = 512) -> DataFrame:
+    """id_col's values unchanged, then the columns of `returns` (DDL) that work(list of texts) gives as lists.
+
+    Runs over Arrow batches, a few rows at a time, so memory is bounded by a slice of them.
+    """
+    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    schema = f"_id {kind}, {returns}"
+
+    def run(batches):
+        own = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                columns = work(part.column(1).to_pylist())
+                if own is None:
+                    own = to_arrow_schema(T.StructType.fromJson(shape))
+                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, list(own)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=own.names)
+
+    shape = T.StructType.fromDDL(schema).jsonValue()
+    return slim.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+#: ASCII other than letters and digits becomes a space, A-Z becomes a-z, and all other bytes stay.
+WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased (A-Z) runs of ASCII letters, digits and any other character beyond ASCII."""
+    return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
+
+
+def predicate(test):
+    """A vectorised boolean function of one text column from test(list of texts)."""
+    @F.pandas_udf(T.BooleanType())
+    def apply(texts: pd.Series) -> pd.Series:
+        return pd.Series(test([None if t is None or t != t else t for t in texts]), dtype="bool")
+
+    return apply
