@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, shard, simhash
+from . import decontaminate, langid, shard, simhash
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op5_langid": langid.op5_langid,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_shard": shard.ORACLE_SQL,
