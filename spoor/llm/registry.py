@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, shard, simhash
+from . import decontaminate, langid, linedup, shard, simhash
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
+    "op2_line_dedup": linedup.op2_line_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_langid": langid.op5_langid,
