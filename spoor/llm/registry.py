@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linedup, shard, simhash
+from . import decontaminate, langid, linedup, sentencepiece, shard, simhash
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_langid": langid.op5_langid,
+    "op10_sentencepiece": sentencepiece.op10_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_shard": shard.ORACLE_SQL,

@@ -104,7 +104,8 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, returns: str, work, row
                 columns = work(part.column(1).to_pylist())
                 if own is None:
                     own = to_arrow_schema(T.StructType.fromJson(shape))
-                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, list(own)[1:], strict=True)]
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, list(own)[1:], strict=True)]
+                arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, list(own)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=own.names)
 
     shape = T.StructType.fromDDL(schema).jsonValue()
