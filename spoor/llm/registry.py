@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, langid, linedup, sentencepiece, shard, simhash
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op5_langid": langid.op5_langid,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL: dict[str, str] = {
     "op1_shard": shard.ORACLE_SQL,
     "op3_decontaminate": decontaminate.ORACLE_SQL,
