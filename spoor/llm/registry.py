@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, linedup, sentencepiece, shard, simhash
+from . import ann, decontaminate, langid, linedup, quality, sentencepiece, shard, simhash, toxicity
 
 QUERIES = {
     "op1_shard": shard.op1_shard,
@@ -12,6 +12,9 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_langid": langid.op5_langid,
+    "op6_ann": ann.op6_ann,
+    "op8_quality": quality.op8_quality,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sentencepiece": sentencepiece.op10_sentencepiece,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
