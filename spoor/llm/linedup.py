@@ -60,11 +60,8 @@ def _shingles(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-16BE')), b -> {one})[0]"
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of line hashes those whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = lines.select("h", "line").join(wanted.hint("shuffle_hash"), "h", "left_semi").distinct()
-    texts = shared.cut(texts, "line-texts")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of line hashes those whose shingle sets have a Jaccard similarity of 0.8 or more; texts: h, line."""
     both = pairs.join(texts.selectExpr("h as a", "line as la"), "a").join(texts.selectExpr("h as b", "line as lb"), "b")
     # Sets and encoded lines are bound to lambda variables: plain columns would be inlined and computed at every mention.
     sets = f"array(named_struct('a', {_shingles('la')}, 'b', {_shingles('lb')}))"
@@ -75,30 +72,29 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct lines with signatures, and (node, comp) of those that have a near-duplicate.
 
-    A bucket (equal minima in one band) first links its lines to its least hash only. Buckets
-    whose lines remain in several components then compare the pairs between components, so a
-    bucket of many copies never gives all its pairs and no connection is lost.
+    A bucket (equal minima in one band) first compares its lines with its least hash only.
+    Buckets whose lines then lie in several components compare the pairs between components,
+    those already tried left out, so copies never give all their pairs and no connection is lost.
     """
     distinct = shared.cut(signatures(lines), "line-signatures")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in band]) for k, band in enumerate(BANDS)])
     index = distinct.select("h", F.explode(keys).alias("key"))
     hubs = index.selectExpr("key", "h", "first_value(h) over (partition by key order by h) as hub").where("h <> hub")
     hubs = shared.cut(hubs, "line-hubs")
+    members = shared.cut(hubs.select("key", "h").unionByName(hubs.selectExpr("key", "hub as h").distinct()), "line-members")
+    wanted = members.select("h").distinct().hint("shuffle_hash")
+    texts = shared.cut(lines.select("h", "line").join(wanted, "h", "left_semi").distinct(), "line-texts")
     tried = shared.cut(hubs.selectExpr("hub as a", "h as b").distinct(), "line-tried")
-    good = verified(tried, lines)
-    comps = shared.cut(shared.components(good), "line-comps")
-
-    members = hubs.select("key", "h").unionByName(hubs.selectExpr("key", "hub as h").distinct())
+    comps = shared.cut(shared.components(verified(tried, texts)), "line-comps")
+    shared.drop(hubs)
     placed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("n > 2 and x <> y").select("key")
-    apart = shared.cut(placed.join(mixed, "key"), "line-open")
+    state = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    apart = shared.cut(placed.join(state.where("n > 2 and x <> y").select("key"), "key"), "line-open")
     a, b = apart.alias("a"), apart.alias("b")
-    more = a.join(b, F.expr("a.key = b.key and a.h < b.h and a.comp <> b.comp")).selectExpr("a.h as a", "b.h as b").distinct()
-    more = shared.cut(more.join(tried, ["a", "b"], "left_anti"), "line-more")
-    if more.limit(1).count():
-        edges = comps.selectExpr("node as a", "comp as b").unionByName(verified(more, lines))
-        comps = shared.cut(shared.components(edges), "line-comps")
-    shared.drop(hubs, tried, apart, more)
+    pairs = a.join(b, F.expr("a.key = b.key and a.h < b.h and a.comp <> b.comp")).selectExpr("a.h as a", "b.h as b")
+    good = verified(shared.cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "line-fresh"), texts)
+    if good.limit(1).count():
+        comps = shared.cut(shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good)), "line-comps")
     return distinct, comps
 
 
