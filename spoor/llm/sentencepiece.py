@@ -24,7 +24,9 @@ from . import shared
 #: The tokenizer's file; the environment may name another.
 MODEL_FILE = os.environ.get("SPOOR_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: At most so many frequent words are encoded ahead and broadcast, which bounds the table.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 50_000
+#: Words beyond those that a worker remembers, at most; then it forgets all.
+REMEMBERED = 200_000
 #: Longer words have no place in a 64-bit mask of boundaries and are encoded where they stand.
 LONGEST = 60
 SPACE = "▁"
@@ -167,14 +169,20 @@ class Pieces:
             end = best[end][1]
         return self._ids(reversed(parts))
 
-    def encode(self, text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]:
-        """The ids of a whole text. Words that aren't known are encoded here."""
+    def encode(self, text: str | None, known: dict[str, tuple[int, ...]], memory: dict[str, tuple[int, ...]]) -> list[int]:
+        """The ids of a whole text. Words that aren't known are encoded here, and remembered."""
         if not text:
             return []
         words = re.findall(self.cut, self.marked(text))
         found = list(map(known.get, words))
         if None in found:
-            found = [self.word(w) if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            for i, f in enumerate(found):
+                if f is None:
+                    if (f := memory.get(words[i])) is None:
+                        f = memory[words[i]] = self.word(words[i])
+                    found[i] = f
         return list(chain.from_iterable(found))
 
     def decode(self, ids) -> str:
@@ -226,7 +234,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 _SPAN = "(shiftleft(1L, e.end) - shiftleft(1L, e.start + 1))"
 _MERGE = f"""aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1L, (mask, step) ->
-  coalesce(mask & ~get(transform(filter(steps, e -> e.end > e.start + 1 and (shiftright(mask, e.start) & 1L) = 1L
+  coalesce(mask & ~get(transform(filter(longer, e -> (shiftright(mask, e.start) & 1L) = 1L
     and (shiftright(mask, e.end) & 1L) = 1L and bit_count(mask & {_SPAN}) = 1), e -> {_SPAN}), 0), mask))"""
 _CUTS = "filter(sequence(0, length(word)), i -> (shiftright(mask, i) & 1L) = 1L)"
 _VITERBI = """aggregate(sequence(1, length(word)), array(named_struct('score', 0D, 'back', 0)), (best, i) ->
@@ -244,7 +252,7 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         worst = min(pieces.scores[i] for i in pieces.ids.values()) - 10.0
         rows = rows.selectExpr("word", "steps", _VITERBI.format(worst=repr(worst)) + " as best").selectExpr("word", "steps", f"{_BACK} as cuts")
     else:
-        rows = rows.selectExpr("word", "steps", f"{_MERGE} as mask").selectExpr("word", "steps", f"{_CUTS} as cuts")
+        rows = rows.selectExpr("word", "steps", "filter(steps, e -> e.end > e.start + 1) as longer").selectExpr("word", "steps", f"{_MERGE} as mask").selectExpr("word", "steps", f"{_CUTS} as cuts")
     at = "get(filter(steps, e -> e.start = cuts[i] and e.end = cuts[i + 1]), 0).id"
     raw = "cast(substring(word, cuts[i] + 1, 1) as binary)"
     spelled = f"transform(sequence(1, length({raw})), k -> {pieces.bytes_at[0]} + cast(conv(hex(substring({raw}, k, 1)), 16, 10) as int))"
@@ -254,9 +262,9 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
 def table_of(df: DataFrame, pieces: Pieces, text_col: str = "text", most: int = KEEP_WORDS) -> dict[str, tuple[int, ...]]:
     """The ids of the frequent words of df, by the lattice in Spark; at most `most` words."""
     counts = shared.cut(count_words(df, pieces, text_col), "piece-words")
-    found = fold(lattice(frequent(counts, most), pieces), pieces)
+    found = shared.cut(fold(lattice(frequent(counts, most), pieces), pieces), "piece-ids")
     known = {r.word: tuple(r.ids) for r in found.toLocalIterator()}
-    shared.drop(counts)
+    shared.drop(counts, found)
     return known
 
 
@@ -270,11 +278,13 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((pieces, table_of(df, pieces, text_col, most)))
 
+    memory: dict[str, tuple[int, ...]] = {}
+
     def work(texts):
         own, known = held.value
         ids, sizes, same = [], [0], []
         for text in texts:
-            got = own.encode(text, known)
+            got = own.encode(text, known, memory)
             ids.append(np.array(got, dtype=np.int32))
             sizes.append(sizes[-1] + len(got))
             same.append(own.decode(got) == (text or ""))
