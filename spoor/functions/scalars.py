@@ -35,7 +35,7 @@ def varint(u: Column) -> Column:
 
 def unvarint(hexed: Column) -> Column:
     """The number of a LEB128 encoding in hex, below 2^63."""
-    digits = F.transform(F.sequence(F.lit(0), F.length(hexed) / 2 - 1), lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    digits = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(hexed, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
     total = F.aggregate(
         digits,
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shift")),
@@ -54,7 +54,8 @@ def unbase40(value: Column) -> Column:
     """The name of a base-40 number, without the end marks after it."""
     chars = []
     for i in range(12):
-        digit = (F.floor(value.cast("decimal(38,0)") / F.lit(str(40**i)).cast("decimal(20,0)")) % 40).cast("int")
+        rest = F.call_function("div", value.cast(U64), F.lit(str(40**i)).cast(U64)) if i else value.cast(U64)
+        digit = (rest % 40).cast("int")
         chars.append(F.when(digit > 0, F.substring(F.lit(BASE40[1:]), digit, F.lit(1))).otherwise(F.lit("")))
     return F.concat(*chars)
 

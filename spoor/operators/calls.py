@@ -40,22 +40,22 @@ def call_tree(sig: DataFrame, last_seq: int | None = None, width: int = 65536) -
     open = entries less returns so far; a frame's enter and return share the depth open - 1 and
     open. Both the running sum and the order in a depth are taken in bins of seq first, so no
     trace is one task. Calls that never return end at the last signal, and more returns than
-    entries raise an error, as the recorder's stack would underflow.
+    entries raise an error where there is any call, as the recorder's stack would underflow.
     """
     rows = sig.withColumn("d", F.expr("if(kind = 'enter', 1, -1)")).withColumn("_bin", F.floor(F.col("seq") / width))
     sums = rows.groupBy("_bin").agg(F.sum("d").alias("_sum"))
     starts = sums.selectExpr("_bin", "sum(_sum) over (order by _bin rows between unbounded preceding and current row) - _sum as _start")
     run = "sum(d) over (partition by _bin order by seq rows between unbounded preceding and current row)"
     opened = rows.withColumn("_in", F.expr(run)).join(starts, "_bin").selectExpr("seq", "kind", "function_id", "_in + _start as open")
-    opened = opened.withColumn("open", F.expr("if(open < 0, raise_error('return without a call'), open)"))
     framed = opened.withColumn("depth", F.expr("cast(if(kind = 'enter', open - 1, open) as int)"))
-    end = F.lit(last_seq).cast("long") if last_seq is not None else None
     paired = framed.withColumn("exit_seq", F.expr("lead(seq) over (partition by depth order by seq)"))
     frames = dense(paired.where("kind = 'enter'"), "seq", "call_key", width)
-    if end is None:
-        frames = frames.crossJoin(F.broadcast(sig.agg(F.max("seq").alias("_last"))))
-        end = F.col("_last")
-    frames = frames.select("call_key", "function_id", F.col("seq").alias("enter_seq"), F.coalesce("exit_seq", end).alias("exit_seq"), "depth")
+    # Every frame's end reads the least open, so that an underflow can't be pruned away.
+    bounds = opened.agg(F.max("seq").alias("_last"), F.min("open").alias("_low"))
+    frames = frames.crossJoin(F.broadcast(bounds))
+    last = F.col("_last") if last_seq is None else F.lit(last_seq).cast("long")
+    end = F.when(F.col("_low") < 0, F.raise_error(F.lit("return without a call"))).otherwise(F.coalesce("exit_seq", last))
+    frames = frames.select("call_key", "function_id", F.col("seq").alias("enter_seq"), end.alias("exit_seq"), "depth")
     parents = frames.selectExpr("call_key as parent_call_key", "depth + 1 as depth", "enter_seq as p_enter", "exit_seq as p_exit")
     bins = F.sequence(F.floor(F.col("p_enter") / 4096), F.floor(F.col("p_exit") / 4096))
     parents = parents.withColumn("_bin", F.explode(bins))
