@@ -92,10 +92,27 @@ def _counted(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return slim.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(df: DataFrame, by: list[str], name: str, most: int) -> DataFrame:
-    keys = ", ".join(by)
-    ranked = df.selectExpr("*", f"row_number() over (partition by {keys} order by n desc, {name}) as k")
-    return ranked.where(F.col("k") <= most).drop("k")
+def _top(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Per key the most frequent rows, at most `most`: none is kept while a more frequent one isn't.
+
+    A histogram of the counts gives each key its least count, so nothing is ranked in one task.
+    """
+    sizes: dict[tuple, list] = {}
+    for r in df.groupBy(*by, "n").agg(F.count("*").alias("rows")).collect():
+        sizes.setdefault(tuple(r[k] for k in by), []).append((r.n, r.rows))
+    least = []
+    for key, found in sizes.items():
+        total, low = 0, None
+        for n, rows in sorted(found, reverse=True):
+            total += rows
+            if total > most:
+                break
+            low = n
+        if low is not None:
+            least.append((*key, low))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    table = df.sparkSession.createDataFrame(least, ", ".join([*(f"{k} {kinds[k]}" for k in by), "_least bigint"]))
+    return df.join(F.broadcast(table), by).where(F.col("n") >= F.col("_least")).drop("_least")
 
 
 def _logs(rows, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
@@ -113,7 +130,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     counts = shared.cut(_counted(df, text_col, lang_col), "words")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    kept = _top(counts, ["lang"], "word", KEEP_WORDS).select("word").distinct()
+    kept = _top(counts, ["lang"], KEEP_WORDS).select("word").distinct()
     words = counts.join(kept, "word").select("lang", "word", "n").collect()
     ids, logs = _logs([tuple(r) for r in words], languages, totals)
 
@@ -137,7 +154,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     grams = grams.groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n")).where("length(gram) = size and gram not in ('^', '$')")
     grams = shared.cut(grams, "grams")
     sums = {(r.lang, r["size"]): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    kept = _top(grams, ["lang", "size"], "gram", KEEP_GRAMS).select("size", "gram").distinct()
+    kept = _top(grams, ["lang", "size"], KEEP_GRAMS).select("size", "gram").distinct()
     found = grams.join(kept, ["size", "gram"]).select("size", "lang", "gram", "n").collect()
     by_size = [_logs([(r.lang, r.gram, r.n) for r in found if r["size"] == n], languages, {x: sums.get((x, n), 1) for x in languages}) for n in range(1, MAX_GRAM + 1)]
     shared.drop(counts, grams)
