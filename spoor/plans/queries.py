@@ -87,10 +87,10 @@ def step_position_points(spark, sf):
     return P.position_point(T.steps(spark, sf))
 
 
-@query(f"SELECT step_id, path_id, line FROM located WHERE {MOVING} AND step_id BETWEEN 5000 AND 5099", T.STEPS, T.POSITIONS, LOCATED)
+@query(f"SELECT step_id, path_id, line FROM located WHERE {MOVING} AND step_id BETWEEN 500 AND 599", T.STEPS, T.POSITIONS, LOCATED)
 def step_location_range(spark, sf):
     """Locations of a range of steps."""
-    return ranges.page(located(spark, sf), "step_id", 5000, 100).select("step_id", "path_id", "line")
+    return ranges.page(located(spark, sf), "step_id", 500, 100).select("step_id", "path_id", "line")
 
 
 @query("SELECT s.step_id, max(call_key) AS call_key FROM steps s LEFT JOIN calls c ON entry_step <= step_id AND exit_step >= step_id GROUP BY ALL", T.STEPS, T.CALLS)
@@ -172,10 +172,10 @@ def events_by_kind(spark, sf):
     return stats.events_by_kind(T.steps(spark, sf), ("absolute", "delta"))
 
 
-@query("SELECT * FROM vals WHERE step_id = 4242", T.VALUES)
+@query("SELECT * FROM vals WHERE step_id = 442", T.VALUES)
 def step_values(spark, sf):
     """The values of one step by ordinal (C)."""
-    return T.values(spark, sf).where("step_id = 4242").orderBy("ordinal")
+    return T.values(spark, sf).where("step_id = 442").orderBy("ordinal")
 
 
 @query("SELECT varname, CAST(row_number() OVER (ORDER BY f, varname) - 1 AS BIGINT) AS id FROM (SELECT varname, min(step_id * 2 + ordinal) AS f FROM vals GROUP BY 1)", T.VALUES)
@@ -214,10 +214,10 @@ def views_of_paths(spark, sf):
     return indexes.views_of_paths(T.source_views(spark, sf)).select("path_id", F.size("view_idxs").cast("long").alias("n"), F.array_join("view_idxs", ",").alias("views"))
 
 
-@query("SELECT view_idx, path_id, view_kind, view_name FROM views WHERE path_id NOT IN (SELECT path_id FROM paths WHERE path_id < 50)", T.VIEWS, T.PATHS)
+@query("SELECT view_idx, path_id, view_kind, view_name FROM views WHERE path_id NOT IN (SELECT path_id FROM paths WHERE path_id < 20)", T.VIEWS, T.PATHS)
 def views_without_path(spark, sf):
     """Source views whose path isn't registered: the check of a writer."""
-    paths = T.line_lengths(spark, sf).where("path_id < 50").select("path_id")
+    paths = T.line_lengths(spark, sf).where("path_id < 20").select("path_id")
     return T.source_views(spark, sf).drop("content").join(paths, "path_id", "left_anti")
 
 
@@ -371,10 +371,10 @@ def tree_shape(spark, sf):
     return stats.tree_shape(T.table(spark, sf, "orders"), 64)
 
 
-@query("SELECT block_id FROM (SELECT o_orderkey AS block_id, permanent, total - sum(CASE WHEN permanent THEN 0 ELSE bytes END) OVER (ORDER BY o_orderkey) + bytes AS left_before FROM (SELECT o_orderkey, o_orderkey % 5 = 0 AS permanent, o_orderkey % 97 + 1 AS bytes, sum(o_orderkey % 97 + 1) OVER () AS total FROM orders)) WHERE NOT permanent AND left_before > 200000")
+@query("SELECT block_id FROM (SELECT o_orderkey AS block_id, permanent, total - sum(CASE WHEN permanent THEN 0 ELSE bytes END) OVER (ORDER BY o_orderkey) + bytes AS left_before FROM (SELECT o_orderkey, o_orderkey % 5 = 0 AS permanent, o_orderkey % 97 + 1 AS bytes, sum(o_orderkey % 97 + 1) OVER () AS total FROM orders)) WHERE NOT permanent AND left_before > 20000")
 def evicted_blocks(spark, sf):
     """Blocks a cache drops to meet its budget, by block id (H)."""
-    return stats.evicted(T.table(spark, sf, "orders").selectExpr("o_orderkey as block_id", "o_orderkey % 5 = 0 as permanent", "o_orderkey % 97 + 1 as bytes"), 200000)
+    return stats.evicted(T.table(spark, sf, "orders").selectExpr("o_orderkey as block_id", "o_orderkey % 5 = 0 as permanent", "o_orderkey % 97 + 1 as bytes"), 20000)
 
 
 @query("SELECT user_id AS object_key, event_type AS upload, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type = 'error'")
@@ -404,11 +404,11 @@ def memory_writes(spark, sf):
     return indexes.memory_writes(rows)
 
 
-@query("SELECT user_id AS key, max(event_id) AS commit_id, arg_max(value, event_id) AS payload FROM events WHERE event_id <= 5000 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+@query("SELECT user_id AS key, max(event_id) AS commit_id, arg_max(value, event_id) AS payload FROM events WHERE event_id <= 500 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def snapshot_read(spark, sf):
     """Keys as a pinned commit shows them (E-12, K-7)."""
     rows = T.table(spark, sf, "events").selectExpr("user_id as key", "event_id as commit_id", "if(event_type = 'error', null, value) as payload")
-    return indexes.at_snapshot(rows, "key", 5000)
+    return indexes.at_snapshot(rows, "key", 500)
 
 
 @query("SELECT l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 50) GROUP BY 1")
