@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spoor.llm import labelled, quality, shared, toxicity
 
@@ -68,6 +69,39 @@ def test_model_matches_plain_counts(spark):
     assert abs(model.ratio("an idiot") - model.logs[b"idiot"] / 2) < 1e-12
 
 
+def test_a_label_s_sample_weighs_as_much_as_the_label(spark):
+    rows = frame(spark, [(i, f"text {i}") for i in range(6000)]).drop("label")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(6000)], "doc_id long, toxic int")
+    whole = {r.label: r["count"] for r in labelled.chosen(labels, "toxic").groupBy("label").count().collect()}
+    assert {r.weight for r in labelled.chosen(labels, "toxic").collect()} == {1.0}
+    for most in (300, 1000):
+        got = {r.label: r for r in labelled.sample(rows, labels, "toxic", most).groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+        assert got[0].n < 1.3 * most < whole[0]
+        assert all(abs(got[c].w - whole[c]) < 1e-6 * whole[c] for c in (0, 1))
+
+
+def test_cuts_are_the_same_from_a_sample(spark):
+    rnd = np.random.default_rng(3)
+    y = np.repeat([0, 1], [20000, 2000])
+    some = np.concatenate((np.arange(0, 20000, 10), np.arange(20000, 22000)))
+    weights = np.where(y[some] == 0, 10.0, 1.0)
+    ratios = rnd.normal(size=22000) + 2 * y
+    cuts = []
+    for at, w in ((np.arange(22000), None), (some, weights), (some, None)):
+        model = toxicity.Model({})
+        toxicity.calibrate(model, ratios[at], y[at], w)
+        cuts.append((math.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD)) - model.offset) / model.slope)
+    assert abs(cuts[0] - cuts[1]) < 0.35 < cuts[0] - cuts[2], cuts
+    x = rnd.normal(size=(22000, quality.FEATURES))
+    x[:, 0] += 2 * y
+    found = [(quality.fit(x[at], y[at], 5000, weights=w).score(x) >= quality.THRESHOLD).mean() for at, w in ((np.arange(22000), None), (some, weights), (some, None))]
+    assert abs(found[0] - found[1]) < 0.03 < found[2] - found[0], found
+    many = toxicity.learn(spark.createDataFrame([(0, f"plain word n{i}") for i in range(600)] + [(1, f"plain fool n{i}") for i in range(60)], "label int, text string"))
+    few = toxicity.learn(spark.createDataFrame([(0, f"plain word n{i}", 10.0) for i in range(60)] + [(1, f"plain fool n{i}", 1.0) for i in range(60)], "label int, text string, weight double"))
+    same = toxicity.learn(spark.createDataFrame([(0, f"plain word n{i}") for i in range(60)] + [(1, f"plain fool n{i}") for i in range(60)], "label int, text string"))
+    assert abs(few.logs[b"word"] - many.logs[b"word"]) < abs(same.logs[b"word"] - many.logs[b"word"])
+
+
 def test_edge_rows(spark):
     long = "word " * 100000
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, "idiot"), (4, "!!!")]
