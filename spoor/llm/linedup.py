@@ -24,10 +24,6 @@ BANDS = [
     *[(d, 3 + (d + 1) % 3, 6 + (d + 2) % 3) for d in range(3)],
     *[(d, 3 + (d + 2) % 3, 6 + (d + 1) % 3) for d in range(3)],
 ]
-#: Lines of more shingles than this give their minima from the quarter of the hash space that
-#: sorts first. Shorter lines use the whole space, in which that quarter still comes first, so
-#: two lines on either side of the limit agree on it.
-DENSE = 64
 _rnd = random.Random(20240229)
 #: XOR with a constant permutes the hashes; the high bits spread the nine minima over the space.
 MASKS = [(i * 57 << 20 | _rnd.getrandbits(20)) & 0x1FFFFFFF for i in range(POINTS)]
@@ -43,13 +39,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     """h, n (occurrences), m0..m8 of every distinct line.
 
     Here a shingle is 10 bytes of UTF-8, which are as many characters where a line is ASCII.
+    Every shingle of a line takes part, however long the line is.
     """
     rows = lines.select("h", F.col("line").cast("binary").alias("b"))
     rows = rows.selectExpr("h", "b", f"explode(sequence(1, greatest(length(b) - {SHINGLE}, 0) + 1)) as at")
-    rows = rows.selectExpr("h", "at", f"hash(substring(b, at, {SHINGLE})) & 2147483647 as s", f"length(b) > {DENSE + SHINGLE} as long")
-    rows = rows.where(f"not long or s < {1 << 29} or at = 1")
-    quarter = f"if(long and s >= {1 << 29}, 2147483647, s ^ {{}})"
-    minima = [F.expr(f"min({quarter.format(m)})").alias(f"m{i}") for i, m in enumerate(MASKS)]
+    rows = rows.selectExpr("h", "at", f"hash(substring(b, at, {SHINGLE})) & 2147483647 as s")
+    minima = [F.expr(f"min(s ^ {m})").alias(f"m{i}") for i, m in enumerate(MASKS)]
     return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), *minima)
 
 

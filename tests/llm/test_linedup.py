@@ -80,6 +80,13 @@ def test_edge_rows(spark):
     assert linedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_periodic_lines_of_any_length_meet(spark):
+    units = ["-", "_", "#", "~", "- ", "Du ", "Be "]
+    rows = [(2 * i + k, (u * 90)[:n].strip(" ")) for i, u in enumerate(units) for k, n in enumerate((60, 90))]
+    got = {(r.doc_id, i) for r in linedup.dropped_lines(frame(spark, rows)).collect() for i in r.dropped}
+    assert got == {(d, i) for (d, _), ns in brute(rows).items() for i in ns} == {(2 * i + 1, 0) for i in range(len(units))}
+
+
 def test_many_copies_give_no_pairs(spark):
     rnd = random.Random(2)
     base = [f"word{i}" for i in range(40)]
