@@ -16,7 +16,7 @@ SHINGLE = 10
 SIMILARITY = 0.8
 #: Nine minima as the points of a 3 by 3 plane; a band is one of its twelve lines. Two minima are
 #: in one band exactly once, so few hashes make many nearly independent bands: 99.0 % of pairs
-#: with a similarity of 0.8 share one, 99.96 % of those with 0.9.
+#: with a similarity of 0.8 share one, 99.96 % of those with 0.9, whatever the lines' length.
 POINTS = 9
 BANDS = [
     *[(3 * r, 3 * r + 1, 3 * r + 2) for r in range(3)],
@@ -25,8 +25,10 @@ BANDS = [
     *[(d, 3 + (d + 2) % 3, 6 + (d + 1) % 3) for d in range(3)],
 ]
 _rnd = random.Random(20240229)
-#: XOR with a constant permutes the hashes; the high bits spread the nine minima over the space.
-MASKS = [(i * 57 << 20 | _rnd.getrandbits(20)) & 0x1FFFFFFF for i in range(POINTS)]
+#: Multiplying by an odd number modulo 2^31 permutes the hashes, and so does XOR with a constant.
+#: Each minimum has its own order of all hashes; XOR alone would let all nine choose among the
+#: few hashes with the same high bits.
+MIXES = [(_rnd.getrandbits(31) | 1 << 29 | 1, _rnd.getrandbits(31)) for _ in range(POINTS)]
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,8 +45,8 @@ def signatures(lines: DataFrame) -> DataFrame:
     """
     rows = lines.select("h", F.col("line").cast("binary").alias("b"))
     rows = rows.selectExpr("h", "b", f"explode(sequence(1, greatest(length(b) - {SHINGLE}, 0) + 1)) as at")
-    rows = rows.selectExpr("h", "at", f"hash(substring(b, at, {SHINGLE})) & 2147483647 as s")
-    minima = [F.expr(f"min(s ^ {m})").alias(f"m{i}") for i, m in enumerate(MASKS)]
+    rows = rows.selectExpr("h", "at", f"cast(hash(substring(b, at, {SHINGLE})) & 2147483647 as bigint) as s")
+    minima = [F.expr(f"min(cast((s * {a}L & 2147483647L) ^ {x}L as int))").alias(f"m{i}") for i, (a, x) in enumerate(MIXES)]
     return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), *minima)
 
 

@@ -80,6 +80,26 @@ def test_edge_rows(spark):
     assert linedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_recall_of_bands_by_line_length(spark):
+    rnd = random.Random(4)
+    letter = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz")
+    pairs = []
+    for n in (9, 18, 27, 36, 54, 108):
+        for _ in range(800):
+            a = "".join(letter() for _ in range(n + 9))
+            b = a[: -n // 9] + "".join(letter().upper() for _ in range(n // 9))
+            pairs.append((n, a, b))
+    assert all(len(shingles(a) & shingles(b)) == 0.8 * len(shingles(a) | shingles(b)) for _, a, b in pairs)
+    lines = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])], "h long, line string")
+    minima = {r.h: [r[f"m{i}"] for i in range(linedup.POINTS)] for r in linedup.signatures(lines).collect()}
+    met = defaultdict(list)
+    for i, (n, _, _) in enumerate(pairs):
+        a, b = minima[2 * i], minima[2 * i + 1]
+        met[n].append(any(all(a[k] == b[k] for k in band) for band in linedup.BANDS))
+    shares = {n: sum(x) / len(x) for n, x in met.items()}
+    assert min(shares.values()) >= 0.975, shares
+
+
 def test_periodic_lines_of_any_length_meet(spark):
     units = ["-", "_", "#", "~", "- ", "Du ", "Be "]
     rows = [(2 * i + k, (u * 90)[:n].strip(" ")) for i, u in enumerate(units) for k, n in enumerate((60, 90))]
