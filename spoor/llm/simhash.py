@@ -147,16 +147,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near-duplicates: of each component one row stays, with all its columns.
 
-    That row is the one with the component's smallest id; rows repeated under that id count as
-    one. Where no row of a component has an id, one with the component's least fingerprint stays.
+    That row is the one with the component's smallest id; rows repeated under that id in the
+    component count as one. An id with rows in several components is looked up by each row's own
+    fingerprint. Where no row of a component has an id, one with the component's least fingerprint stays.
     """
     found = shared.cut(near_duplicates(df, id_col, text_col), "groups")
-    keep = found.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    named = df.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_keep"))
+    ids = ids.agg(F.expr("bool_or(doc_id = component_id)").alias("kept"), F.expr("min(comp) <> max(comp)").alias("mixed")).where("kept")
+    ids = shared.cut(ids, "kept-ids")
+    named = df.where(F.col(id_col).isNotNull())
+    single = named.join(ids.where("not mixed"), F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    several = named.join(ids.where("mixed"), F.col(id_col) == F.col("_keep"), "left_semi").withColumn("_fp", _fingerprints(F.col(text_col)))
+    own = found.where("doc_id = component_id").selectExpr("doc_id as _id", "fp as _print", "comp as _comp").distinct()
+    several = several.join(own, (F.col(id_col) == F.col("_id")) & (F.col("_fp") == F.col("_print"))).dropDuplicates([id_col, "_comp"]).select(*df.columns)
     alone = found.where("component_id is null and fp = comp").select("fp").distinct().withColumnRenamed("fp", "_keep")
     nameless = df.where(F.col(id_col).isNull()).withColumn("_fp", _fingerprints(F.col(text_col)))
     nameless = nameless.join(alone, F.col("_fp") == F.col("_keep"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return named.dropDuplicates([id_col]).unionByName(nameless)
+    return single.unionByName(several).unionByName(nameless)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,13 @@ def test_edge_rows(spark):
     )
 
 
+def test_one_id_in_several_components(spark):
+    a, b = "the quick brown fox jumps over the lazy dog", "an entirely different sentence about other things"
+    for rows in ([(1, a), (2, a), (2, b)], [(2, b), (2, a), (1, a)]):
+        df = spark.createDataFrame([(d, t, "x", "y", 0, "f", "k", "c") for d, t in rows], SCHEMA)
+        assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(1, a), (2, b)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).collect() == []
