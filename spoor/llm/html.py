@@ -55,10 +55,10 @@ def _step(tag: str, names: list[str]) -> str:
     return ".".join([tag, *kept])
 
 
-def parse(text: str, decode: bool = True) -> Page:
+def parse(text: str) -> Page:
     """The text blocks of a page in order, with the containers they lie in. Unclosed and stray tags are put up with.
 
-    Votes need no decoded character references, only which container holds the most text.
+    Character references are decoded, in votes too, as scores count characters.
     """
     root = Node("body", "body", None, False)
     stack, containers, blocks = [root], [root], []
@@ -80,7 +80,7 @@ def parse(text: str, decode: bool = True) -> Page:
     def say(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].aside:
-            raw = entities.unescape(raw) if decode else raw
+            raw = entities.unescape(raw)
             parts.append(raw)
             if links:
                 linked += len(raw)
@@ -220,7 +220,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     a host, meet the pages in a join; a host with many pages is split by a salt.
     """
     slim = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    votes = shared.map_texts(slim.where("host <> ''"), "host", "html", "path string", lambda texts: ([best_path(parse(t, decode=False)) if t else None for t in texts],))
+    votes = shared.map_texts(slim.where("host <> ''"), "host", "html", "path string", lambda texts: ([best_path(parse(t)) if t else None for t in texts],))
     tally = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
     total = F.expr("sum(n) over (partition by host)")
     first = F.expr("row_number() over (partition by host order by n desc, path)")

@@ -56,6 +56,12 @@ def test_consensus_beats_a_page_s_own_choice():
     assert html.main_text(page, ["body/div.none"]) == "a much longer text that isn't the article"
 
 
+def test_votes_count_decoded_characters(spark):
+    page = "<div class=a><p>This is the text of the article.</p></div><div class=b><p>&nbsp;</p><p>&eacute;&eacute;&eacute;&eacute;&eacute;&eacute;&eacute;&eacute;</p></div>"
+    got = html.extract(frame(spark, [(i, f"http://h.example/{i}", page) for i in range(3)])).collect()
+    assert {r.text for r in got} == {"This is the text of the article."}
+
+
 def test_edge_rows(spark):
     long = "<article>" + "<p>word &amp; word</p>" * 40000 + "</article>"
     rows = [(1, "http://a.b", None), (2, "http://a.b", ""), (3, "nonsense", "<<<>>> < a"), (4, "http://A.b:80/x", long), (4, "http://A.b:80/x", long), (None, None, "plain"), (5, "u", "<div><p>unclosed <a href='x>y'>link"), (6, "u", "<script>never ends <p>x"), (7, "u", "<!-- never ends <p>x"), (8, "u", "  \n")]
