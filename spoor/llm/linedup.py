@@ -16,7 +16,7 @@ SHINGLE = 10
 SIMILARITY = 0.8
 #: Nine minima as the points of a 3 by 3 plane; a band is one of its twelve lines. Two minima are
 #: in one band exactly once, so few hashes make many nearly independent bands: 99.0 % of pairs
-#: with a similarity of 0.8 share one, 99.96 % of those with 0.9, whatever the lines' length.
+#: with a similarity of 0.8 share one, 99.96 % of those with 0.9 (97.6 % and more on lines of 40 characters or fewer).
 POINTS = 9
 BANDS = [
     *[(3 * r, 3 * r + 1, 3 * r + 2) for r in range(3)],
@@ -29,25 +29,39 @@ _rnd = random.Random(20240229)
 #: Each minimum has its own order of all hashes; XOR alone would let all nine choose among the
 #: few hashes with the same high bits.
 MIXES = [(_rnd.getrandbits(31) | 1 << 29 | 1, _rnd.getrandbits(31)) for _ in range(POINTS)]
+#: Shingles hashed in one row of the exploded lines; rows are dearer than expressions.
+UNROLL = 16
+#: Longs of a sketch, 64 bits each: the parity of the shingles whose hash falls on each bit.
+SKETCH = 16
+#: Shares of a bucket's lines that all its other lines are compared with, one after another.
+SHARES = (16, 1)
+_BLANK = r" \t\r\n\f\u000B"
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, of (hash of the text), line_no, line, h (64-bit hash of the line); blank lines are left out."""
+    """doc_id, of (hash of the text), line_no, line, h (64-bit hash of the line), place (hash of the first three); lines of white space are left out."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
-    return rows.where("trim(line) <> ''").withColumn("h", F.xxhash64("line"))
+    rows = rows.where(f"trim(both '{_BLANK}' from line) <> ''")
+    return rows.withColumns({"h": F.xxhash64("line"), "place": F.xxhash64("doc_id", "of", "line_no")})
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """h, n (occurrences), m0..m8 of every distinct line.
+    """h, n (occurrences), place (the least of its places), m0..m8 of every distinct line.
 
-    Here a shingle is 10 bytes of UTF-8, which are as many characters where a line is ASCII.
+    A shingle is 10 UTF-16 code units, that is characters but for those beyond the basic plane.
     Every shingle of a line takes part, however long the line is.
     """
-    rows = lines.select("h", F.col("line").cast("binary").alias("b"))
-    rows = rows.selectExpr("h", "b", f"explode(sequence(1, greatest(length(b) - {SHINGLE}, 0) + 1)) as at")
-    rows = rows.selectExpr("h", "at", f"cast(hash(substring(b, at, {SHINGLE})) & 2147483647 as bigint) as s")
-    minima = [F.expr(f"min(cast((s * {a}L & 2147483647L) ^ {x}L as int))").alias(f"m{i}") for i, (a, x) in enumerate(MIXES)]
-    return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), *minima)
+    width = 2 * SHINGLE
+    rows = lines.select("h", "place", F.encode("line", "UTF-16BE").alias("b"))
+    rows = rows.selectExpr("h", "place", "b", f"greatest(length(b) - {width - 1}, 1) as last")
+    rows = rows.selectExpr("h", "place", "b", "last", f"explode(sequence(1, last, {2 * UNROLL})) as at")
+    hashed = [f"cast(hash(substring(b, least(at + {2 * j}, last), {width})) & 2147483647 as bigint) as s{j}" for j in range(UNROLL)]
+    rows = rows.selectExpr("h", "place", "at", *hashed)
+    minima = []
+    for i, (a, x) in enumerate(MIXES):
+        own = ", ".join(f"(s{j} * {a}L & 2147483647L) ^ {x}L" for j in range(UNROLL))
+        minima.append(F.expr(f"cast(min(least({own})) as int)").alias(f"m{i}"))
+    return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), F.min("place").alias("place"), *minima)
 
 
 def _shingles(line: str) -> str:
@@ -57,41 +71,71 @@ def _shingles(line: str) -> str:
     return f"transform(array(encode({line}, 'UTF-16BE')), b -> {one})[0]"
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """h, size (of the line's set of shingles) and k0..k15, the parities of the shingles on each of 1,024 bits."""
+    rows = texts.selectExpr("h", f"explode({_shingles('line')}) as s")
+    bit = "shiftleft(1L, cast(s & 63 as int))"
+    parts = [F.expr(f"bit_xor(if((shiftright(s, 6) & {SKETCH - 1}) = {j}, {bit}, 0L))").alias(f"k{j}") for j in range(SKETCH)]
+    return rows.groupBy("h").agg(F.count("*").alias("size"), *parts)
+
+
+def _may_be_close() -> str:
+    """What holds of every pair (a, b) with the similarity, and of few others.
+
+    Sets whose sizes differ more can't have it, and each differing bit of the sketches stands for a
+    shingle that only one line has: at similarity s there are (1 - s) / (1 + s) of both sizes at most.
+    """
+    sizes = f"least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size)"
+    differ = " + ".join(f"bit_count(a.k{j} ^ b.k{j})" for j in range(SKETCH))
+    return f"{sizes} and {1 + SIMILARITY} * ({differ}) <= {1 - SIMILARITY} * (a.size + b.size) + 1e-6"
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of line hashes those whose shingle sets have a Jaccard similarity of 0.8 or more; texts: h, line."""
     both = pairs.join(texts.selectExpr("h as a", "line as la"), "a").join(texts.selectExpr("h as b", "line as lb"), "b")
     # Sets and encoded lines are bound to lambda variables: plain columns would be inlined and computed at every mention.
     sets = f"array(named_struct('a', {_shingles('la')}, 'b', {_shingles('lb')}))"
     sizes = f"transform({sets}, p -> named_struct('n', size(p.a) + size(p.b), 'both', size(array_intersect(p.a, p.b))))"
-    return shared.cut(both.where(f"exists({sizes}, q -> q.both >= {SIMILARITY} * (q.n - q.both))").select("a", "b"), "line-pairs")
+    return both.where(f"exists({sizes}, q -> q.both >= {SIMILARITY} * (q.n - q.both))").select("a", "b")
 
 
 def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All distinct lines with signatures, and (node, comp) of those that have a near-duplicate.
 
-    A bucket (equal minima in one band) first compares its lines with its least hash only.
-    Buckets whose lines then lie in several components compare the pairs between components,
-    those already tried left out, so copies never give all their pairs and no connection is lost.
+    A bucket (equal minima in one band) first compares its lines with its least hash only. Then
+    lines of buckets that still hold several components meet across components: first one in 16
+    lines with all others, then all with all. Sizes and sketches sort out, inside the join, pairs
+    that can't have the similarity; the rest is verified exactly. Copies thus never give all
+    their pairs, and no link that would join two components is lost.
     """
     distinct = shared.cut(signatures(lines), "line-signatures")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in band]) for k, band in enumerate(BANDS)])
     index = distinct.select("h", F.explode(keys).alias("key"))
-    hubs = index.selectExpr("key", "h", "first_value(h) over (partition by key order by h) as hub").where("h <> hub")
-    hubs = shared.cut(hubs, "line-hubs")
-    members = shared.cut(hubs.select("key", "h").unionByName(hubs.selectExpr("key", "hub as h").distinct()), "line-members")
-    wanted = members.select("h").distinct().hint("shuffle_hash")
-    texts = shared.cut(lines.select("h", "line").join(wanted, "h", "left_semi").distinct(), "line-texts")
-    tried = shared.cut(hubs.selectExpr("hub as a", "h as b").distinct(), "line-tried")
-    comps = shared.cut(shared.components(verified(tried, texts)), "line-comps")
-    shared.drop(hubs)
-    placed = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
-    state = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    apart = shared.cut(placed.join(state.where("n > 2 and x <> y").select("key"), "key"), "line-open")
-    a, b = apart.alias("a"), apart.alias("b")
-    pairs = a.join(b, F.expr("a.key = b.key and a.h < b.h and a.comp <> b.comp")).selectExpr("a.h as a", "b.h as b")
-    good = verified(shared.cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "line-fresh"), texts)
-    if good.limit(1).count():
-        comps = shared.cut(shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good)), "line-comps")
+    buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
+    members = shared.cut(index.join(buckets.hint("shuffle_hash"), "key"), "line-members")
+    wanted = distinct.select("h", "place").join(members.select("h").distinct(), "h", "left_semi")
+    texts = shared.cut(lines.select("h", "place", "line").join(wanted.hint("shuffle_hash"), ["h", "place"], "left_semi").select("h", "line").distinct(), "line-texts")
+    sketches = shared.cut(sketched(texts), "line-sketches")
+    near = F.expr(_may_be_close())
+    first = members.where("h <> hub").select("hub", "h").distinct().alias("p")
+    first = first.join(sketches.alias("a"), F.expr("p.hub = a.h")).join(sketches.alias("b"), F.expr("p.h = b.h") & near)
+    first = shared.cut(first.selectExpr("p.hub as a", "p.h as b"), "line-near")
+    good = shared.cut(verified(first, texts), "line-pairs")
+    comps = shared.components(good)
+    shared.drop(first, good)
+    for share in SHARES:
+        now = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
+        several = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        apart = now.join(several.where("n > 2 and x <> y").select("key").hint("shuffle_hash"), "key").join(sketches, "h")
+        apart = shared.cut(apart, "line-apart")
+        hubs = apart.where(f"pmod(h, {share}) = 0")
+        far = F.expr("a.key = b.key and a.comp <> b.comp" + (" and a.h < b.h" if share == 1 else "")) & near
+        fresh = shared.cut(hubs.alias("a").join(apart.alias("b"), far).selectExpr("a.h as a", "b.h as b").distinct(), "line-near")
+        good = shared.cut(verified(fresh, texts), "line-pairs")
+        merged = shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good))
+        shared.drop(apart, fresh, good, comps)
+        comps = merged
+    shared.drop(members, texts, sketches)
     return distinct, comps
 
 
@@ -99,33 +143,39 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, of, dropped (line numbers from 0, ascending): the documents that lose lines.
 
     Of the lines of a component, equal lines included, the first by doc_id (nulls last), then
-    by the hash of the text, then by line number stays. Blank lines take no part. Rows equal in
-    id and text are one document. A 64-bit hash stands for a line.
+    by the hash of the text, then by line number stays. Lines of white space take no part. Rows equal in
+    id and text are one document. A 64-bit hash stands for a line. Null and empty texts have no
+    lines; texts may have any length and number of lines; an empty table gives an empty result.
     """
     lines = lines_of(df, id_col, text_col)
     distinct, comps = line_components(lines)
     many = distinct.where("n > 1").select("h").join(comps.withColumnRenamed("node", "h"), "h", "full_outer")
     many = shared.cut(many.selectExpr("h", "coalesce(comp, h) as comp"), "line-many")
-    placed = lines.select("doc_id", "of", "line_no", "h").join(many, "h").select("comp", "doc_id", "of", "line_no").distinct()
-    placed = shared.cut(placed, "line-placed")
+    shared.drop(distinct, comps)
+    placed = shared.cut(lines.select("doc_id", "of", "line_no", "h").join(many, "h").select("comp", "doc_id", "of", "line_no"), "line-placed")
+    shared.drop(many)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "line_no")
     first = placed.groupBy("comp").agg(F.min(rank).alias("first"))
     lost = placed.join(first, "comp").where(rank != F.col("first"))
-    return lost.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    lost = lost.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    out = shared.cut(lost, "line-lost")
+    shared.drop(placed)
+    return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with near-duplicate lines removed from its texts, all columns kept.
 
-    A document that loses all its lines but blank ones goes; null and blank texts stay as they are.
-    An empty table stays empty.
+    A document that loses all its lines but those of white space goes; texts that lose no line stay as they are,
+    null and blank ones among them. Repeated rows each keep their row. An empty table stays empty.
     """
-    lost = shared.cut(dropped_lines(df, id_col, text_col).selectExpr("doc_id as _id", "of as _of", "dropped as _dropped"), "line-lost")
+    lost = dropped_lines(df, id_col, text_col).selectExpr("doc_id as _id", "of as _of", "dropped as _dropped")
     named = df.withColumn("_hash", F.xxhash64(text_col))
     both = named.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    kept = f"array_join(filter(split(`{text_col}`, '\\n', -1), (l, i) -> not array_contains(_dropped, i)), '\\n')"
+    at = "array_except(sequence(0, size(l) - 1), _dropped)"
+    kept = f"transform(array(split(`{text_col}`, '\\n', -1)), l -> array_join(transform({at}, i -> l[i]), '\\n'))[0]"
     new = both.withColumn(text_col, F.expr(f"if(_dropped is null, `{text_col}`, {kept})"))
-    return new.where(f"_dropped is null or trim(both '\\n ' from `{text_col}`) <> ''").select(*df.columns)
+    return new.where(f"_dropped is null or trim(both '{_BLANK}' from `{text_col}`) <> ''").select(*df.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +185,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = documents.select(
         "doc_id",
         F.xxhash64("text").alias("_of"),
-        F.expr("cast(coalesce(size(filter(split(text, '\\n', -1), l -> trim(l) <> '')), 0) as bigint)").alias("n_lines"),
+        F.expr(f"cast(coalesce(size(filter(split(text, '\\n', -1), l -> trim(both '{_BLANK}' from l) <> '')), 0) as bigint)").alias("n_lines"),
     )
     both = counted.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("of")), "left")
     return both.select(

@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or in local mode, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set(OWN_DIR, found := f"file://{tempfile.mkdtemp(prefix='spoor-')}")
     return found.rstrip("/")
 
@@ -47,24 +49,23 @@ def drop(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 
     edges: columns a, b (long). Returns node, comp for every node that has an edge to
-    another one; comp is the component's smallest node. Self-loops and repeated edges are
-    ignored; an empty input gives an empty result. Each step is joins and aggregates only,
-    so a hub's edges may be split over tasks, and ends in a written table. The number of
-    steps grows with the logarithm of the longest path; beyond `rounds` it raises.
+    another one, as a written table; comp is the component's smallest node. Self-loops and
+    repeated edges are ignored; an empty input gives an empty result. Each step is joins and
+    aggregates only, so a hub's edges may be split over tasks, and ends in a written table. The
+    number of steps grows with the logarithm of the longest path.
     """
     e = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "cc",
     )
-    for _ in range(rounds):
-        # Done when no node that others point to points on itself: every component is then a star.
-        if not e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").limit(1).count() and not (
-            e.groupBy("u").count().where("count > 1").limit(1).count()
-        ):
+    while True:
+        # Done when every component is a star: no node points to two others, or is pointed to and points itself.
+        ends = e.selectExpr("u as node", "1L as out", "0L as into").unionByName(e.selectExpr("v as node", "0L as out", "1L as into"))
+        if not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").limit(1).count():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -75,10 +76,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
         drop(e, large)
         e = small
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     whole = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    out = whole.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    out = cut(whole.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
+    drop(e)
     return out
 
 

@@ -103,7 +103,7 @@ def links(fps: DataFrame, big: int = 64) -> tuple[DataFrame, DataFrame]:
     hubs = members.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where("fp <> hub")
     first = hubs.where(_linked(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     first = shared.cut(first, "edges")
-    comps = shared.cut(shared.components(first), "comps")
+    comps = shared.components(first)
 
     placed = members.where("n > 2").join(comps.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.select("key", "n", "fp", F.coalesce("comp", "fp").alias("comp"))
@@ -119,7 +119,7 @@ def links(fps: DataFrame, big: int = 64) -> tuple[DataFrame, DataFrame]:
         & _linked(F.col("a.fp"), F.col("b.fp")),
     ).select(F.col("a.comp").alias("a"), F.col("b.comp").alias("b"))
     edges = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(second.distinct())
-    out = shared.cut(shared.components(edges), "comps")
+    out = shared.components(edges)
     shared.drop(lists, members, open_lists, first, comps)
     return out
 

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from spoor.llm import linedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, line string, dropped int"
@@ -17,7 +19,7 @@ def shingles(line):
 def brute(rows):
     """(id, text) -> the line numbers to drop, by comparing all pairs of lines."""
     docs = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0))
-    lines = [(d, t, i, x) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+    lines = [(d, t, i, x) for d, t in docs for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\n\f\v")]
     parent, sets, text = {}, {}, {}
     for *_, x in lines:
         parent.setdefault(x, x)
@@ -68,7 +70,7 @@ def test_recall_against_all_pairs(spark):
 
 def test_edge_rows(spark):
     long = "\n".join(f"line number {i} says something of its own {i * 7919}" for i in range(4000))
-    rows = [(1, None), (2, ""), (3, "\n \n"), (4, "a\nb\na"), (5, "b"), (6, "one line that is on its own here"), (7, "One line that is on its own here!\nkeep me"), (8, long), (8, long), (None, "a\nnew"), (None, "a\nnew"), (9, "ünïcödé line, quite long, is here\nx")]
+    rows = [(1, None), (2, ""), (3, "\n \n"), (4, "a\nb\na"), (5, "b"), (6, "one line that is on its own here"), (7, "One line that is on its own here!\nkeep me"), (8, long), (8, long), (None, "a\nnew"), (None, "a\nnew"), (9, "ünïcödé line, quite long, is here\nx"), (10, "\t \n\t \nten"), (11, "\t \nten")]
     df = frame(spark, rows)
     got = {(r.doc_id, i) for r in linedup.dropped_lines(df).collect() for i in r.dropped}
     want = {(d, i) for (d, _), ns in brute(rows).items() for i in ns}
@@ -76,7 +78,7 @@ def test_edge_rows(spark):
     out = linedup.dedup_lines(df)
     assert out.columns == df.columns
     texts = sorted(((r.doc_id, r.text) for r in out.collect() if r.doc_id != 8), key=str)
-    assert texts == sorted([(1, None), (2, ""), (3, "\n \n"), (4, "a\nb"), (6, rows[5][1]), (7, rows[6][1]) if (7, 0) not in want else (7, "keep me"), (None, "new"), (None, "new"), (9, rows[-1][1])], key=str)
+    assert texts == sorted([(1, None), (2, ""), (3, "\n \n"), (4, "a\nb"), (6, rows[5][1]), (7, rows[6][1]) if (7, 0) not in want else (7, "keep me"), (None, "new"), (None, "new"), (9, rows[-3][1]), (10, rows[-2][1])], key=str)
     assert linedup.dedup_lines(df.limit(0)).collect() == []
 
 
@@ -90,7 +92,7 @@ def test_recall_of_bands_by_line_length(spark):
             b = a[: -n // 9] + "".join(letter().upper() for _ in range(n // 9))
             pairs.append((n, a, b))
     assert all(len(shingles(a) & shingles(b)) == 0.8 * len(shingles(a) | shingles(b)) for _, a, b in pairs)
-    lines = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])], "h long, line string")
+    lines = spark.createDataFrame([(2 * i + k, x, 0) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])], "h long, line string, place long")
     minima = {r.h: [r[f"m{i}"] for i in range(linedup.POINTS)] for r in linedup.signatures(lines).collect()}
     met = defaultdict(list)
     for i, (n, _, _) in enumerate(pairs):
@@ -107,6 +109,24 @@ def test_periodic_lines_of_any_length_meet(spark):
     assert got == {(d, i) for (d, _), ns in brute(rows).items() for i in ns} == {(2 * i + 1, 0) for i in range(len(units))}
 
 
+def test_sketches_lose_no_close_pair(spark):
+    rnd = random.Random(8)
+    pairs = []
+    for i in range(300):
+        a = [rnd.choice("abcdefgh") for _ in range(rnd.choice([12, 40, 200, 900]))]
+        b = list(a)
+        for _ in range(rnd.randrange(1 + len(a) // 40)):
+            b[rnd.randrange(len(b))] = rnd.choice("ABC")
+        pairs.append(("".join(a), "".join(b) + "x" * rnd.randrange(3)))
+    texts = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "h long, line string")
+    got = linedup.sketched(texts)
+    assert {r.h: r["size"] for r in got.collect()} == {2 * i + k: len(shingles(x)) for i, p in enumerate(pairs) for k, x in enumerate(p)}
+    near = got.alias("a").join(got.alias("b"), F.expr("a.h + 1 = b.h and a.h % 2 = 0") & F.expr(linedup._may_be_close()))
+    passed = {r.h // 2 for r in near.selectExpr("a.h as h").collect()}
+    close = {i for i, (a, b) in enumerate(pairs) if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))}
+    assert close <= passed and len(close) > 50 and len(passed) < 280
+
+
 def test_many_copies_give_no_pairs(spark):
     rnd = random.Random(2)
     base = [f"word{i}" for i in range(40)]
