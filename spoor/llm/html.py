@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,12 @@ BOILERPLATE = set(
     "pagination popup promo promoted promotion related reply replies respond sidebar share sharing signup social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget widgets".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+#: A comment, a declaration, a tag with its attributes; last a tag of which a quote is never closed, which ends at the next `>`.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -37,21 +44,47 @@ _SCOPE = set("article section div main body td th table ul ol dl blockquote asid
 @dataclass
 class Node:
     tag: str
-    step: str
-    parent: Node | None
+    path: int  # number of the path from the body, among the page's
     aside: bool
-    blocks: list[int] = field(default_factory=list)  # numbers of the blocks that begin below
+    first: int  # its blocks are those from first to before last
+    last: int = -1
 
 
 @dataclass
 class Page:
-    blocks: list[tuple[str, Node, int]]  # text, the innermost container, characters inside links
+    blocks: list[tuple[str, int]]  # text, characters inside links
     containers: list[Node]
+    paths: list[tuple[int, str, int]] = field(default_factory=list)  # by number: the parent's number, the own step, the depth
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def number(self, parent: int, step: str) -> int:
+        key = (parent, step)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.paths)
+            self.paths.append((parent, step, self.paths[parent][2] + 1 if parent >= 0 else 0))
+        return self.numbers[key]
+
+    def spelled(self, number: int) -> str:
+        """The generalised tag-class path from the body."""
+        steps: list[str] = []
+        while number >= 0:
+            number, step, _ = self.paths[number]
+            steps.append(step)
+        return "/".join(reversed(steps))
+
+    def found(self, path: str) -> int | None:
+        """The number of a spelled path, if the page has it."""
+        at: int | None = -1
+        for step in path.split("/"):
+            at = self.numbers.get((at, step))
+            if at is None:
+                return None
+        return at
 
 
 def _step(tag: str, names: list[str]) -> str:
     """A tag with its classes, digits generalised: `div.post-body`, `div.post-#`."""
-    kept = sorted({re.sub(r"\d+", "#", n) for n in names})
+    kept = sorted({re.sub(r"\d+", "#", n).replace("/", "|") for n in names})
     return ".".join([tag, *kept])
 
 
@@ -60,8 +93,11 @@ def parse(text: str) -> Page:
 
     Character references are decoded, in votes too, as scores count characters.
     """
-    root = Node("body", "body", None, False)
-    stack, containers, blocks = [root], [root], []
+    page = Page([], [])
+    root = Node("body", page.number(-1, "body"), False, 0)
+    stack, containers, blocks = [root], page.containers, page.blocks
+    containers.append(root)
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = 0
     at, n = 0, len(text)
@@ -71,12 +107,16 @@ def parse(text: str) -> Page:
         joined = _SPACE.sub(" ", "".join(parts)).strip()
         parts.clear()
         if joined and not stack[-1].aside:
-            owner = stack[-1]
-            while owner.tag not in CONTAINER and owner.parent:
-                owner = owner.parent
-            blocks.append((joined, owner, linked))
+            blocks.append((joined, linked))
         linked = 0
 
+    def close(k: int) -> None:
+        """End the open elements from the k-th on; what they say has been flushed."""
+        for node in stack[k:]:
+            node.last = len(blocks)
+            open_tags[node.tag] -= 1
+        del stack[k:]
+
     def say(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].aside:
@@ -92,18 +132,18 @@ def parse(text: str) -> Page:
             break
         say(text[at : m.start()])
         at = m.end()
-        tag = m[2].lower() if m[2] else ""
+        slash, name, inside = m.groups()[:3] if m[2] else m.groups()[3:]
+        tag = name.lower() if name else ""
         if not tag:
             continue
-        if m[1]:
+        if slash:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK or tag in ASIDE:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
-                    if tag in BLOCK or tag in ASIDE or k == len(stack) - 1:
-                        del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPE and tag not in _SCOPE:
                     break
@@ -120,84 +160,81 @@ def parse(text: str) -> Page:
             links += 1
         if tag in BLOCK or tag in ASIDE:
             flush()
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or inside.rstrip().endswith("/"):
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in _ENDS.get(tag, ()):
-                del stack[k:]
+        for k in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in _ENDS.get(tag, ())) else ():
+            if stack[k].tag in _ENDS[tag]:
+                close(k)
                 break
             if stack[k].tag in _SCOPE:
                 break
         if tag in BLOCK or tag in ASIDE:
-            attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+            attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(inside)} if inside.strip() else {}
             names = attributes.get("class", "").lower().split()
             words = {w for x in (*names, attributes.get("id", "").lower(), attributes.get("role", "").lower()) for w in _WORDS.split(x)}
             article = tag in ("article", "main", "body", "html")
             hidden = "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "")
             off = stack[-1].aside or hidden or (not article and (tag in ASIDE or bool(words & BOILERPLATE)))
-            if tag == "header" and any(x.tag == "article" for x in stack) and not words & BOILERPLATE and not stack[-1].aside:
+            if tag == "header" and open_tags["article"] and not words & BOILERPLATE and not stack[-1].aside:
                 off = False
-            node = Node(tag, _step(tag, names), stack[-1], off)
             if tag in ("html", "body"):
                 continue
+            node = Node(tag, page.number(stack[-1].path, _step(tag, names)), off, len(blocks))
             stack.append(node)
+            open_tags[tag] += 1
             if tag in CONTAINER and not off:
                 containers.append(node)
     flush()
-    for k, (_, owner, _) in enumerate(blocks):
-        up = owner
-        while up:
-            up.blocks.append(k)
-            up = up.parent
-    return Page(blocks, containers)
-
-
-def path_of(node: Node) -> str:
-    """The generalised tag-class path from the body."""
-    steps: list[str] = []
-    up: Node | None = node
-    while up:
-        steps.append(up.step)
-        up = up.parent
-    return "/".join(reversed(steps))
+    close(0)
+    return page
 
 
 _VALUE = {"article": 1.5, "main": 1.4, "section": 1.1, "div": 1.0, "td": 0.9, "blockquote": 0.6, "body": 0.5}
 
 
-def scores(page: Page) -> dict[str, float]:
-    """Per container path: the characters of its blocks that aren't links, by what share of the page's it
+def scores(page: Page) -> dict[int, float]:
+    """Per number of a container's path: the characters of its blocks that aren't links, by what share of the page's it
     holds, by its tag, less for blocks that are mostly links. Equal paths add up."""
-    total = sum(len(t) for t, _, _ in page.blocks) or 1
-    out: dict[str, float] = {}
+    sizes = list(accumulate((len(t) for t, _ in page.blocks), initial=0))
+    links = list(accumulate((min(x, len(t)) for t, x in page.blocks), initial=0))
+    total = sizes[-1] or 1
+    out: dict[int, float] = {}
     for node in page.containers:
-        own = [page.blocks[k] for k in node.blocks]
-        size = sum(len(t) for t, _, _ in own)
-        plain = size - sum(min(x, len(t)) for t, _, x in own)
+        size = sizes[node.last] - sizes[node.first]
+        plain = size - (links[node.last] - links[node.first])
         if size:
-            depth = path_of(node)
-            out[depth] = out.get(depth, 0.0) + plain / total * plain / size * _VALUE.get(node.tag, 1.0)
+            out[node.path] = out.get(node.path, 0.0) + plain / total * plain / size * _VALUE.get(node.tag, 1.0)
     return out
 
 
+def _best(page: Page) -> int | None:
+    found = scores(page)
+    if not found:
+        return None
+    rank = {n: (round(s, 9), page.paths[n][2]) for n, s in found.items()}
+    most = max(rank.values())
+    return min((n for n, r in rank.items() if r == most), key=page.spelled)
+
+
 def best_path(page: Page) -> str | None:
     """A page's vote: its best path; of equal ones the longest, then the first in order."""
-    found = scores(page)
-    return max(found, key=lambda p: (round(found[p], 9), p.count("/"), [-ord(c) for c in p]), default=None)
+    best = _best(page)
+    return None if best is None else page.spelled(best)
 
 
 def main_text(page: Page, paths: list[str]) -> str:
     """The blocks under the first of the paths that the page has, else under its own best; joined by one space."""
-    has: dict[str, list[Node]] = {}
-    for node in page.containers:
-        if node.blocks:
-            has.setdefault(path_of(node), []).append(node)
-    own = best_path(page)
-    path = next((p for p in paths if p in has), own)
+    full = {node.path for node in page.containers if node.last > node.first}
+    path = next((n for p in paths if (n := page.found(p)) in full), None)
+    path = _best(page) if path is None else path
     if path is None:
         return ""
-    keep = sorted({k for node in has[path] for k in node.blocks})
-    return " ".join(page.blocks[k][0] for k in keep)
+    keep, at = [], 0
+    for node in page.containers:  # in page order: one inside another with the same path adds nothing
+        if node.path == path:
+            keep += page.blocks[max(at, node.first) : node.last]
+            at = max(at, node.last)
+    return " ".join(t for t, _ in keep)
 
 
 def host_of(url):
@@ -216,7 +253,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     summed by host and path in Spark, and each host keeps its best path if half its pages voted
     for it. Then every page is extracted again with its host's path, or its own best one where the
     host has none or the page lacks it. Pages without a host vote for themselves only. Null and
-    empty html gives an empty text. Repeated rows each keep their row. The winning paths, one short row
+    empty html gives an empty text; an empty table gives an empty result. Repeated rows each keep their row
+    and their vote. Pages may have any length and depth: work grows with their length. The winning paths, one short row
     a host, meet the pages in a join; a host with many pages is split by a salt.
     """
     slim = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

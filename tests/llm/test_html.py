@@ -71,3 +71,15 @@ def test_edge_rows(spark):
     assert {(1, ""), (2, ""), (None, "plain"), (5, "unclosed link"), (6, ""), (7, ""), (8, "")} <= texts
     assert [t for i, _, t in got if i == 4] == [" ".join(["word & word"] * 40000)] * 2
     assert html.extract(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_deep_pages_and_unclosed_quotes():
+    import time
+
+    began = time.time()
+    for page in ("<div>x" * 150_000, "<div>x</span></b>" * 60_000, "<p class='a>x" * 80_000, "<ul><li>x" * 100_000, "<table><tr><td>x" * 60_000):
+        assert html.best_path(html.parse(page))
+        assert "x" in html.main_text(html.parse(page), ["body/div.none"])
+    assert time.time() - began < 60  # 5 MB of text; quadratic work would take hours
+    assert html.main_text(html.parse('<p class="x>Hello</p><p>more text</p>'), []) == "Hello more text"
+    assert html.main_text(html.parse("<div class=w-1/2><p>half</p></div>"), ["body/div.w-#|#"]) == "half"
