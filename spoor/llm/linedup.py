@@ -26,9 +26,10 @@ BANDS = [
 ]
 _rnd = random.Random(20240229)
 #: Multiplying by an odd number modulo 2^31 permutes the hashes, and so does XOR with a constant.
-#: Each minimum has its own order of all hashes; XOR alone would let all nine choose among the
-#: few hashes with the same high bits.
-MIXES = [(_rnd.getrandbits(31) | 1 << 29 | 1, _rnd.getrandbits(31)) for _ in range(POINTS)]
+#: Minima 0, 3 and 6 share a multiplier, and so on; their constants differ in the two highest bits,
+#: so each of them prefers another quarter of the hashes, and they choose among different shingles.
+_FACTORS = [_rnd.getrandbits(31) | 1 << 29 | 1 for _ in range(3)]
+MIXES = [(_FACTORS[i % 3], (i // 3) << 29 | _rnd.getrandbits(29)) for i in range(POINTS)]
 #: Shingles hashed in one row of the exploded lines; rows are dearer than expressions.
 UNROLL = 16
 #: Longs of a sketch, 64 bits each: the parity of the shingles whose hash falls on each bit.
@@ -57,9 +58,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = rows.selectExpr("h", "place", "b", "last", f"explode(sequence(1, last, {2 * UNROLL})) as at")
     hashed = [f"cast(hash(substring(b, least(at + {2 * j}, last), {width})) & 2147483647 as bigint) as s{j}" for j in range(UNROLL)]
     rows = rows.selectExpr("h", "place", "at", *hashed)
+    rows = rows.selectExpr("h", "place", "at", *[f"s{j} * {a}L & 2147483647L as t{k}_{j}" for k, a in enumerate(_FACTORS) for j in range(UNROLL)])
     minima = []
-    for i, (a, x) in enumerate(MIXES):
-        own = ", ".join(f"(s{j} * {a}L & 2147483647L) ^ {x}L" for j in range(UNROLL))
+    for i, (_, x) in enumerate(MIXES):
+        own = ", ".join(f"t{i % 3}_{j} ^ {x}L" for j in range(UNROLL))
         minima.append(F.expr(f"cast(min(least({own})) as int)").alias(f"m{i}"))
     return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), F.min("place").alias("place"), *minima)
 
@@ -115,25 +117,24 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = shared.cut(index.join(buckets.hint("shuffle_hash"), "key"), "line-members")
     wanted = distinct.select("h", "place").join(members.select("h").distinct(), "h", "left_semi")
     texts = shared.cut(lines.select("h", "place", "line").join(wanted.hint("shuffle_hash"), ["h", "place"], "left_semi").select("h", "line").distinct(), "line-texts")
-    sketches = shared.cut(sketched(texts), "line-sketches")
-    near = F.expr(_may_be_close())
-    first = members.where("h <> hub").select("hub", "h").distinct().alias("p")
-    first = first.join(sketches.alias("a"), F.expr("p.hub = a.h")).join(sketches.alias("b"), F.expr("p.h = b.h") & near)
-    first = shared.cut(first.selectExpr("p.hub as a", "p.h as b"), "line-near")
+    first = members.where("h <> hub").selectExpr("hub as a", "h as b").distinct()
     good = shared.cut(verified(first, texts), "line-pairs")
     comps = shared.components(good)
-    shared.drop(first, good)
+    shared.drop(good)
+    sketches, near = None, F.expr(_may_be_close())
     for share in SHARES:
         now = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
         several = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        apart = now.join(several.where("n > 2 and x <> y").select("key").hint("shuffle_hash"), "key").join(sketches, "h")
-        apart = shared.cut(apart, "line-apart")
-        hubs = apart.where(f"pmod(h, {share}) = 0")
+        apart = shared.cut(now.join(several.where("n > 2 and x <> y").select("key").hint("shuffle_hash"), "key"), "line-apart")
+        if sketches is None:  # buckets only ever close, so these are all that is needed
+            sketches = shared.cut(sketched(texts.join(apart.select("h").distinct(), "h", "left_semi")), "line-sketches")
+        rows = shared.cut(apart.join(sketches, "h"), "line-open")
         far = F.expr("a.key = b.key and a.comp <> b.comp" + (" and a.h < b.h" if share == 1 else "")) & near
-        fresh = shared.cut(hubs.alias("a").join(apart.alias("b"), far).selectExpr("a.h as a", "b.h as b").distinct(), "line-near")
+        fresh = rows.where(f"pmod(h, {share}) = 0").alias("a").join(rows.alias("b"), far).selectExpr("a.h as a", "b.h as b")
+        fresh = shared.cut(fresh.distinct(), "line-near")
         good = shared.cut(verified(fresh, texts), "line-pairs")
         merged = shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good))
-        shared.drop(apart, fresh, good, comps)
+        shared.drop(apart, rows, fresh, good, comps)
         comps = merged
     shared.drop(members, texts, sketches)
     return distinct, comps
