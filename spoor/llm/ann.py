@@ -9,35 +9,66 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Rows of a block of candidates and of a block of queries: a task holds one of each, and their estimates.
-CANDIDATES = 4096
-QUERIES = 512
+#: Codes of a block of candidates and of a block of queries: a task holds one of each, and their estimates a slice at a time.
+CANDIDATES = 16384
+QUERIES = 1024
+#: Bits of a code for each component; vectors are padded with zeros before the rotation, which tightens the bounds.
+SPREAD = 4
 #: An estimate is off by less than this many times sqrt((1 - f^2) / f^2 / (D - 1)) with high probability,
-#: f being the inner product of a vector with its code; 1.9 is the usual choice, more reranks more.
+#: f being the inner product of a vector with its code of D bits; 1.9 is the usual choice, more reranks more.
 BOUND = 3.0
+#: Bits of a query's components, so that inner products are counts of bits.
+PLANES = 8
 SEED = 6
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same on every executor."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    """dim rows of a random orthogonal matrix of SPREAD times the size, in whole words of bits; the same on every executor."""
+    wide = -(-SPREAD * dim // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
-def codes(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per unit vector: the packed signs of its rotation, and its inner product with the code they stand for."""
-    turned = vectors @ rotation(vectors.shape[1])
-    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Scaled to length 1, by the largest component first so that squares neither overflow nor vanish."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
 
+def codes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per rotated unit vector: the packed signs, and its inner product with the code they stand for."""
+    packed = np.packbits(turned >= 0, axis=1).view(np.uint64)
+    return packed, (np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])).astype(np.float32)
 
-def estimates(packed: np.ndarray, factors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines of queries (rows) with coded vectors (columns), and each vector's error bound."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ rotation(dim)).astype(np.float32)
-    raw = turned @ signs.T / np.float32(np.sqrt(dim))
-    bound = BOUND * np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / max(1, dim - 1))
-    return raw / factors, bound + 1e-5
+
+def planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per rotated query: its components in PLANES bits each, packed plane by plane; the step between levels; the lowest level."""
+    low = turned.min(axis=1, keepdims=True)
+    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-30)
+    level = np.rint((turned - low) / step).astype(np.uint8)
+    bits = np.stack([np.packbits((level >> k) & 1, axis=1).view(np.uint64) for k in range(PLANES)], axis=1)
+    return bits, step[:, 0], low[:, 0]
+
+
+def estimates(words: np.ndarray, factors: np.ndarray, query: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of one query (its planes, step and lowest level) with coded vectors, and their error bounds.
+
+    words: the codes' first words of 64 bits in a row, then their second ones, and so on. The inner
+    product with a code of signs is twice the sum over its set bits less the sum over all, and sums
+    over set bits are counts of the bits that code and planes share. The rounding of the query's
+    levels moves it as a random sum of half a step for each bit would.
+    """
+    bits, step, low = query
+    wide = len(words) * 64
+    ones, common, whole = np.zeros(len(factors), np.int32), np.zeros(len(factors), np.int32), 0
+    for w, column in enumerate(words):
+        ones += np.bitwise_count(column)
+        for k in range(PLANES):
+            common += np.bitwise_count(column & bits[k, w]).astype(np.int32) << k
+            whole += int(np.bitwise_count(bits[k, w])) << k
+    raw = (2 * (step * common + low * ones) - (step * whole + low * wide)) / np.sqrt(wide)
+    bound = np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / (wide - 1)) + step / 2 / factors
+    return raw / factors, BOUND * bound + 1e-5
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -47,19 +78,20 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(finite + " and exists(v, x -> x <> 0)").groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """dim, block, ids, vectors: rows packed into blocks of at most `size`, each of one dimension."""
+def _coded(rows: DataFrame, queries: bool, size: int, name: str) -> DataFrame:
+    """dim, block, ids, data: codes and factors of candidates, or planes of queries, in blocks of at most `size` of one dimension."""
 
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
 
         def packed(dim, ids, vs):
-            data = np.array(vs, dtype="<f8").tobytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([data], pa.binary())],
-                names=["dim", "ids", "vectors"],
-            )
+            turned = unit(np.array(vs, dtype=np.float64)) @ turns.setdefault(dim, rotation(dim))
+            parts = planes(turned) if queries else codes(turned)
+            columns = [pa.array([dim], pa.int32()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary())]
+            columns.append(pa.array([[p.tobytes() for p in parts]], pa.list_(pa.binary())))
+            return pa.RecordBatch.from_arrays(columns, names=["dim", "ids", "data"])
 
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, vs = held.setdefault(len(v), ([], []))
@@ -70,46 +102,27 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
         for dim, (ids, vs) in held.items():
             yield packed(dim, ids, vs)
 
-    out = rows.mapInArrow(run, "dim int, ids binary, vectors binary")
+    shared.small_batches(rows.sparkSession)
+    out = rows.mapInArrow(run, "dim int, ids binary, data array<binary>")
     return shared.cut(out.withColumn("block", F.monotonically_increasing_id()), name)
 
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype="<i8"), np.frombuffer(vectors, dtype="<f8").reshape(-1, dim)
+def _survivors(q_ids, q_data, c_ids, c_data, k: int):
+    """(query, vector, lower, upper) for each query: the vectors of the block that may be among its k best.
 
-
-def unit(vectors: np.ndarray) -> np.ndarray:
-    """Scaled to length 1, by the largest component first so that squares neither overflow nor vanish."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
-
-
-def nearest_of_block(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, cosine) of the k best of a block for each query.
-
-    Where a block has more than k others, the k-th greatest lower bound decides which vectors may
-    still be among the best; only those are compared in double precision on the original vectors.
+    The k-th greatest lower bound in the block decides. A query's own vector stays in: its other
+    copies may be wanted, so k counts one more.
     """
-    cu, qu = unit(c), unit(q)
-    packed, factors = codes(cu)
-    found, bound = estimates(packed, factors, qu)
-    found[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    lower = found - bound
-    if lower.shape[1] > k:
-        least = np.partition(lower, -k, axis=1)[:, -k]
-        take = found + bound >= least[:, None]
-    else:
-        take = np.isfinite(found)
-    take &= np.isfinite(found)
-    qs, vs, scores = [], [], []
-    for i in range(len(q)):
-        at = np.flatnonzero(take[i])
-        exact = (cu[at] * qu[i]).sum(axis=1)  # row by row: equal vectors get equal scores
-        best = np.lexsort((c_ids[at], -exact))[:k]
-        qs.append(np.full(len(best), q_ids[i]))
-        vs.append(c_ids[at][best])
-        scores.append(exact[best])
-    return np.concatenate(qs), np.concatenate(vs), np.concatenate(scores)
+    q_ids, c_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
+    bits = np.frombuffer(q_data[0], np.uint64).reshape(len(q_ids), PLANES, -1)
+    step, low = (np.frombuffer(x, np.float64) for x in q_data[1:])
+    words, factors = np.ascontiguousarray(np.frombuffer(c_data[0], np.uint64).reshape(len(c_ids), -1).T), np.frombuffer(c_data[1], np.float32)
+    for i, query in enumerate(q_ids):
+        found, bound = estimates(words, factors, (bits[i], step[i], low[i]))
+        lower, upper = found - bound, found + bound
+        least = np.partition(lower, -k - 1)[-k - 1] if len(lower) > k + 1 else -np.inf
+        at = np.flatnonzero(upper >= least)
+        yield np.full(len(at), query), c_ids[at], lower[at], upper[at]
 
 
 def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -117,27 +130,47 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
 
     Candidates are all rows but the query's own; ties go to the smaller id. Vectors that are null,
     empty, zero or hold null or non-finite components take no part, rows repeated under one id count
-    once (of different vectors the least), and only vectors of one length are compared. Every row
-    is indexed. Blocks of queries meet blocks of candidates one pair at a time, whatever
-    the values are, so equal vectors make no task larger. Recall: see the tests (over 0.99).
+    once (of different vectors the least), and only vectors of one length are compared. An empty table
+    gives an empty result. Every vector is coded once. Equal vectors are one candidate, of which the
+    k + 1 smallest ids matter, and one query, so copies never pair up. Only codes, one correction
+    factor a vector and the queries' bit planes go into the blocks, whose pairs are compared one at
+    a time; original vectors are fetched for those that the bounds leave, and compared in double
+    precision. Recall: see the tests (over 0.99).
     """
-    rows = shared.cut(usable(df, id_col, vector_col), "vectors")
-    few = _blocks(rows.where(queries), QUERIES, "queries")
-    many = _blocks(rows, CANDIDATES, "candidates")
-    # The stated query set against all rows, in blocks: each block of candidates goes once to each of its dimension's query blocks.
+    rows = shared.cut(usable(df, id_col, vector_col).withColumn("asked", queries), "vectors")
+    spread = rows.withColumn("n", F.expr("row_number() over (partition by v order by vec_id)")).where(F.col("n") <= k + 1)
+    classes = shared.cut(spread.groupBy("v").agg(F.min("vec_id").alias("c"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("c", "v", "ids"), "vector-classes")
+    asked = rows.where("asked").select("vec_id", "v").join(classes.select("c", "v"), "v").select(F.col("vec_id").alias("query_id"), "c")
+    asked = shared.cut(asked, "asked")
+    wanted = asked.select("c").distinct()
+    few = _coded(classes.join(wanted, "c", "left_semi").select("c", "v"), True, QUERIES, "query-codes")
+    many = _coded(classes.select("c", "v"), False, CANDIDATES, "codes")
+    # The stated query set against all rows, in blocks: each block of codes goes once to each of its dimension's query blocks.
     sets = few.groupBy("dim").agg(F.collect_list("block").alias("sets"))
-    pairs = many.join(sets, "dim").select("dim", "ids", "vectors", F.explode("sets").alias("block"))
-    both = pairs.join(few.select("block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "block")
-    both = both.select("dim", "q_ids", "q_vectors", "ids", "vectors").repartition(F.xxhash64("q_ids", "ids"))
+    pairs = many.join(sets, "dim").select("ids", "data", F.explode("sets").alias("block"))
+    both = pairs.join(few.select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "block")
+    both = both.select("q_ids", "q_data", "ids", "data").repartition(F.xxhash64("q_ids", "ids"))
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                dim, q_ids, q_vs, ids, vs = (batch.column(i)[at].as_py() for i in range(5))
-                found = nearest_of_block(*_unpack(q_ids, q_vs, dim), *_unpack(ids, vs, dim), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
-
-    best = both.mapInArrow(run, "query_id long, vec_id long, score double")
+                for part in _survivors(*(batch.column(i)[at].as_py() for i in range(4)), k):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, own, strict=True)], names=["q", "c", "lower", "upper"])
+
+    own = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    near = shared.cut(both.mapInArrow(run, "q long, c long, lower double, upper double"), "survivors")
+    least = near.withColumn("n", F.expr("row_number() over (partition by q order by lower desc, c)")).where(F.col("n") == k + 1).select("q", F.col("lower").alias("least"))
+    near = near.join(least, "q", "left").where("least is null or upper >= least").select("q", "c")
+    # Norms are bound to lambda variables: plain expressions would be computed again for every component.
+    scaled = "transform(array(array_max(transform(v, y -> abs(y)))), m -> transform(v, x -> x / m))[0]"
+    length1 = "transform(array(sqrt(aggregate(s, 0D, (a, y) -> a + y * y))), n -> transform(s, x -> x / n))[0]"
+    units = shared.cut(classes.selectExpr("c", "ids", f"transform(array({scaled}), s -> {length1})[0] as u"), "units")
+    exact = near.join(units.selectExpr("c as q", "u as qu"), "q").join(units, "c")
+    exact = exact.selectExpr("q", "ids", "aggregate(zip_with(u, qu, (x, y) -> x * y), 0D, (a, p) -> a + p) as score")
+    # Of each class of equal queries the best k + 1 ids: one may be a query's own.
+    each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
+    each = each.withColumn("n", F.expr("row_number() over (partition by q order by score desc, vec_id)")).where(F.col("n") <= k + 1)
+    best = asked.join(each.withColumnRenamed("q", "c"), "c").where("query_id <> vec_id")
     ranked = best.withColumn("rank", F.expr("cast(row_number() over (partition by query_id order by score desc, vec_id) as int)"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -72,17 +74,49 @@ class Windows:
         return named
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """The items, broadcast in blocks of a bounded size."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
+    """The items in lists of a bounded size, one after another."""
     slim = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    context, blocks, held, size = benchmark.sparkSession.sparkContext, [], [], 0
+    held, size = [], 0
     for row in slim.where("item is not null and text is not null").toLocalIterator():
         held.append((row.item, row.text))
         size += len(row.text)
         if size >= BLOCK_CHARS:
-            blocks.append(context.broadcast(held))
+            yield held
             held, size = [], 0
-    return [*blocks, context.broadcast(held)] if held else blocks
+    if held:
+        yield held
+
+
+def _finder(spark: SparkSession, items: list, window: int):
+    """words -> (hit, names) for one block of items, whose windows a worker builds once for each task."""
+    held, cache = shared.hold(spark, items), []
+
+    def find(words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        if not cache:
+            cache.append(Windows(held.value, window))
+        hit = np.zeros(len(words), dtype=bool)
+        return hit, cache[0].scan(words, hit)
+
+    return find
+
+
+def _found(df: DataFrame, text_col: str, blocks, window: int) -> DataFrame:
+    """h (hash of a text), spans (of hit words) and items of every text that any block hits: one scan of the texts for each block."""
+    spark, parts = df.sparkSession, []
+    keyed = df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    for items in blocks:
+        find = _finder(spark, items, window)
+
+        def work(texts, find=find):
+            found = [find(shared.words_of(t)) for t in texts]
+            return [np.flatnonzero(np.diff(np.concatenate(([0], h, [0])))).tolist() for h, _ in found], [sorted(n) for _, n in found]
+
+        hits = shared.map_texts(keyed, "h", "text", "spans array<int>, items array<string>", work).where("size(items) > 0")
+        parts.append(shared.cut(hits.dropDuplicates(["h"]), "block-hits"))
+        shared.release()
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def scan(
@@ -100,31 +134,36 @@ def scan(
     window is `window` consecutive words of an item, or all of a shorter item; a word inside any
     occurrence of a window is hit. clean_text is the text without the spans from the first to the
     last word of each run of hit words, null where nothing was hit. Null and empty texts have no
-    words; items with a null id or text take no part, and items repeated under one id count once.
-    Items are broadcast in blocks of bounded size, of which a worker holds one at a time.
+    words, texts may have any length; items with a null id or text take no part, and items repeated
+    under one id count once. Repeated rows each keep their row; an empty table or benchmark gives an
+    empty result or no hits. Items are broadcast in blocks of bounded size. One block is scanned and reported in
+    one pass; of more, each has a pass of its own that keeps the texts it hits, by a 64-bit hash, and a last one puts them together.
     """
     blocks = _blocks(benchmark, item_col, item_text_col)
-    cache: list[Windows] = []
-
-    def load():
-        if len(blocks) == 1:
-            if not cache:
-                cache.append(Windows(blocks[0].value, window))
-            return cache
-        return (Windows(b.value, window) for b in blocks)
-
-    def work(texts):
-        split = [shared.words_of(t) for t in texts]
-        hits = [np.zeros(len(w), dtype=bool) for w in split]
-        named: list[set[str]] = [set() for _ in texts]
-        for model in load():
-            for words, hit, names in zip(split, hits, named, strict=True):
-                names |= model.scan(words, hit)
-        clean = [remove_spans(t, h) if h.any() else None for t, h in zip(texts, hits, strict=True)]
-        return [len(w) for w in split], [int(h.sum()) for h in hits], [sorted(x) for x in named], clean
-
+    some = list(islice(blocks, 2))
     returns = "n_words long, n_hit long, items array<string>, clean_text string"
-    return shared.map_texts(df, id_col, text_col, returns, work)
+
+    def report(texts, found):
+        clean = [remove_spans(t, h) if h.any() else None for t, (h, _) in zip(texts, found, strict=True)]
+        return [len(h) for h, _ in found], [int(h.sum()) for h, _ in found], [sorted(n) for _, n in found], clean
+
+    if len(some) < 2:
+        find = _finder(df.sparkSession, some[0] if some else [], window)
+        return shared.map_texts(df, id_col, text_col, returns, lambda texts: report(texts, [find(shared.words_of(t)) for t in texts]))
+    hits = _found(df, text_col, chain(some, blocks), window)
+    both = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("h")).join(hits, "h", "left")
+    both = both.select("_id", F.struct("_text", "spans", "items").alias("_row"))
+
+    def joined(rows):
+        found = []
+        for r in rows:
+            hit, spans = np.zeros(len(shared.words_of(r["_text"])), dtype=bool), r["spans"] or []
+            for at, end in zip(spans[::2], spans[1::2], strict=True):
+                hit[at:end] = True
+            found.append((hit, r["items"] or []))
+        return report([r["_text"] for r in rows], found)
+
+    return shared.map_texts(both, "_id", "_row", returns, joined).withColumnRenamed("_id", id_col)
 
 
 def remove_spans(text: str, hit: np.ndarray) -> str:
@@ -147,24 +186,23 @@ CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of df that the rule of CONTAMINATED leaves, with all their columns and whole texts."""
+    """The rows of df that the rule of CONTAMINATED leaves, with all their columns and whole texts.
+
+    Null and empty texts stay; repeated rows stay or go together. Blocks as in scan().
+    """
     blocks = _blocks(benchmark, "item_id", "text")
-    cache: list[Windows] = []
+    some = list(islice(blocks, 2))
+    if len(some) == 2:
+        found = scan(df.select(F.xxhash64(text_col).alias("_h"), text_col), benchmark, "_h", text_col)
+        gone = shared.cut(found.where(CONTAMINATED).select("_h").distinct(), "contaminated")
+        return df.join(gone, F.xxhash64(text_col) == F.col("_h"), "left_anti")
+    find = _finder(df.sparkSession, some[0] if some else [], WINDOW)
 
     def fine(texts):
-        out = []
-        for text in texts:
-            words = shared.words_of(text)
-            hit = np.zeros(len(words), dtype=bool)
-            for b in blocks:
-                if len(blocks) == 1 and not cache:
-                    cache.append(Windows(b.value))
-                (cache[0] if cache else Windows(b.value)).scan(words, hit)
-            n = int(hit.sum())
-            out.append(not (n > 0 and 20 * n >= len(words)))
-        return out
+        hits = [find(shared.words_of(t))[0] for t in texts]
+        return [not (h.any() and 20 * int(h.sum()) >= len(h)) for h in hits]
 
-    return df.where(shared.predicate(fine)(F.col(text_col)))
+    return shared.filter_texts(df, text_col, fine)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,24 +5,27 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: The most frequent words of each language that the model keeps, and n-grams of each length.
-#: They bound its size; counts cover every word of every learned row before the choice.
-KEEP_WORDS = 40_000
-KEEP_GRAMS = 10_000
+#: The model learns from about so many rows of each language at most, those with the least hash of
+#: their id. All words and n-grams of these rows count, so the rows alone bound its size.
+SAMPLE = 4_000
 MAX_GRAM = 4
 UNKNOWN = "und"
 #: Words that a score weighs at most: beyond, more text makes the languages no more certain.
 EVIDENCE = 24
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_REMEMBERED = 100_000
+#: Unseen words whose n-grams a worker remembers, and counts that it gathers before it passes them on.
+_REMEMBERED = 20_000
+_GATHERED = 100_000
 
 
 def has_letter(text: str | None) -> bool:
@@ -57,7 +60,7 @@ class Model:
 
     def score(self, words: list[str], memory: dict[str, np.ndarray]) -> tuple[str, float]:
         get = self.words.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
         total = self.word_logs[ids[ids >= 0]].sum(axis=0)
         if (ids < 0).any():
             for word, n in Counter(w for w, k in zip(words, ids, strict=True) if k < 0).items():
@@ -72,49 +75,39 @@ class Model:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+def bounded(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", most: int = SAMPLE) -> DataFrame:
+    """The rows of df with a language, or where a language has more than `most`, those below a threshold on a hash of the id."""
+    rows = df.where(F.col(lang_col).isNotNull())
+    share = F.lit(1 << 20)
+    for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect():
+        share = F.when(F.col(lang_col) == r.lang, F.lit(int(most / r.n * (1 << 20)))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share)
+
+
 def _counted(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """lang, word, n over all rows; each batch is counted before anything is shuffled."""
+    shared.small_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            counts: dict[str, Counter] = {}
-            for lang, text in zip(langs, texts, strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text))
+        counts: dict[str, Counter] = {}
+
+        def packed():
             for lang, found in counts.items():
-                words, ns = list(found), list(found.values())
-                for at in range(0, len(words), 20_000):
-                    part = words[at : at + 20_000]
-                    arrays = [shared.pa.array([lang] * len(part)), shared.pa.array(part), shared.pa.array(ns[at : at + 20_000])]
-                    yield shared.pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "n"])
+                arrays = [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["lang", "word", "n"])
+            counts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                counts.setdefault(lang.as_py(), Counter()).update(words_of(text.as_py()))
+                if sum(map(len, counts.values())) > _GATHERED:
+                    yield from packed()
+        yield from packed()
 
     slim = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     return slim.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(df: DataFrame, by: list[str], most: int) -> DataFrame:
-    """Per key the most frequent rows, at most `most`: none is kept while a more frequent one isn't.
-
-    A histogram of the counts gives each key its least count, so nothing is ranked in one task.
-    """
-    sizes: dict[tuple, list] = {}
-    for r in df.groupBy(*by, "n").agg(F.count("*").alias("rows")).collect():
-        sizes.setdefault(tuple(r[k] for k in by), []).append((r.n, r.rows))
-    least = []
-    for key, found in sizes.items():
-        total, low = 0, None
-        for n, rows in sorted(found, reverse=True):
-            total += rows
-            if total > most:
-                break
-            low = n
-        if low is not None:
-            least.append((*key, low))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    table = df.sparkSession.createDataFrame(least, ", ".join([*(f"{k} {kinds[k]}" for k in by), "_least bigint"]))
-    return df.join(F.broadcast(table), by).where(F.col("n") >= F.col("_least")).drop("_least")
-
-
 def _logs(rows, languages: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies by name; a name not counted in a language has half an occurrence there."""
     ids: dict[str, int] = {}
@@ -126,13 +119,11 @@ def _logs(rows, languages: list[str], totals: dict[str, int]) -> tuple[dict[str,
 
 
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count words by language over all rows of df; n-gram counts are derived from the word counts."""
+    """Count words by language over all rows of df, which bound the model; n-gram counts are derived from the word counts."""
     counts = shared.cut(_counted(df, text_col, lang_col), "words")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    kept = _top(counts, ["lang"], KEEP_WORDS).select("word").distinct()
-    words = counts.join(kept, "word").select("lang", "word", "n").collect()
-    ids, logs = _logs([tuple(r) for r in words], languages, totals)
+    ids, logs = _logs([tuple(r) for r in counts.select("lang", "word", "n").toLocalIterator()], languages, totals)
 
     whole = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     lengths = F.sequence(F.lit(1), F.lit(MAX_GRAM))
@@ -154,8 +145,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     grams = grams.groupBy("lang", "g.size", "g.gram").agg(F.sum("n").alias("n")).where("length(gram) = size and gram not in ('^', '$')")
     grams = shared.cut(grams, "grams")
     sums = {(r.lang, r["size"]): r.n for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    kept = _top(grams, ["lang", "size"], KEEP_GRAMS).select("size", "gram").distinct()
-    found = grams.join(kept, ["size", "gram"]).select("size", "lang", "gram", "n").collect()
+    found = grams.select("size", "lang", "gram", "n").collect()
     by_size = [_logs([(r.lang, r.gram, r.n) for r in found if r["size"] == n], languages, {x: sums.get((x, n), 1) for x in languages}) for n in range(1, MAX_GRAM + 1)]
     shared.drop(counts, grams)
     return Model(languages, ids, logs, [x[0] for x in by_size], [x[1] for x in by_size])
@@ -168,8 +158,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     of its longest known n-grams. score is the likeliest language's share of the likelihood, at
     the mean of the words and as if there were 24 of them at most. Texts that are null or hold no letter,
     and all texts if nothing was learned, get `und` and score 0. Ties go to the first language in order.
+    Texts may have any length. Repeated rows each keep their row; an empty table gives an empty result.
     """
-    model = df.sparkSession.sparkContext.broadcast(model)
+    model = shared.hold(df.sparkSession, model)
     memory: dict[str, np.ndarray] = {}
 
     def work(texts):
@@ -188,8 +179,8 @@ def remainder(id_col, of: int):
 
 
 def learned(documents: DataFrame) -> Model:
-    """From the rows whose remainder by 3 is not 1; rows without an id aren't learned."""
-    return learn(documents.where(remainder("doc_id", 3) != 1))
+    """From a bounded sample of the rows whose remainder by 3 is not 1; rows without an id aren't learned."""
+    return learn(bounded(documents.where(remainder("doc_id", 3) != 1)))
 
 
 #: The pipeline rejects a document whose language has no more of the likelihood than this.
@@ -197,8 +188,11 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all their columns, whose language is found with some certainty; others have no letter or no clear language."""
-    model = documents.sparkSession.sparkContext.broadcast(model)
+    """The rows, with all their columns, whose language is found with some certainty; others have no letter or no clear language.
+
+    Null and empty texts go; repeated rows are kept or go together; an empty table stays empty.
+    """
+    model = shared.hold(documents.sparkSession, model)
     memory: dict[str, np.ndarray] = {}
 
     def test(texts):
@@ -208,7 +202,7 @@ def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
             out.append(bool(words) and model.value.score(words, memory)[1] > LEAST_SCORE)
         return out
 
-    return documents.where(shared.predicate(test)(F.col("text")))
+    return shared.filter_texts(documents, "text", test)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

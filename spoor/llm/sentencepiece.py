@@ -276,7 +276,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     and null ids each keep their row; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast((pieces, table_of(df, pieces, text_col, most)))
+    held = shared.hold(spark, (pieces, table_of(df, pieces, text_col, most)))
 
     memory: dict[str, tuple[int, ...]] = {}
 
@@ -296,7 +296,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
 
 def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: its id and text, from ids; null ids give an empty text."""
-    held = df.sparkSession.sparkContext.broadcast(pieces)
+    held = shared.hold(df.sparkSession, pieces)
 
     def work(rows):
         return ([held.value.decode(x or []) for x in rows],)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,11 +81,38 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, returns: str, work, rows: int = 512) -> DataFrame:
+_held: list = []
+
+
+def hold(spark: SparkSession, value):
+    """A broadcast that release() takes back from the executors."""
+    _held.append(spark.sparkContext.broadcast(value))
+    return _held[-1]
+
+
+def release() -> None:
+    """Take earlier broadcasts back from the executors; a table that still needs one fetches it again."""
+    for b in _held:
+        b.unpersist()
+    _held.clear()
+
+
+#: Rows of an Arrow batch where the session has Spark's own 10,000: texts may be long, and both sides hold whole batches.
+BATCH = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(BATCH))
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, returns: str, work, rows: int = 256) -> DataFrame:
     """id_col's values unchanged, then the columns of `returns` (DDL) that work(list of texts) gives as lists.
 
     Runs over Arrow batches, a few rows at a time, so memory is bounded by a slice of them.
     """
+    small_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, {returns}"
@@ -107,6 +133,20 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, returns: str, work, row
     return slim.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
+def filter_texts(df: DataFrame, text_col: str, test, rows: int = 256) -> DataFrame:
+    """The rows of df, all columns unchanged, for whose text test(list of texts) gives True; a few rows at a time."""
+    small_batches(df.sparkSession)
+    at_text = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(test(part.column(at_text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: ASCII other than letters and digits becomes a space, A-Z becomes a-z, and all other bytes stay.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -116,12 +156,3 @@ WORD_BYTES = bytes(
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and any other character beyond ASCII."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
-
-
-def predicate(test):
-    """A vectorised boolean function of one text column from test(list of texts)."""
-    @F.pandas_udf(T.BooleanType())
-    def apply(texts: pd.Series) -> pd.Series:
-        return pd.Series(test([None if t is None or t != t else t for t in texts]), dtype="bool")
-
-    return apply

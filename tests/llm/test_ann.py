@@ -46,6 +46,31 @@ def test_many_blocks_and_random_vectors(spark, monkeypatch):
     assert compare(ann.search(df, F.col("vec_id") % 20 == 0).collect(), brute(rows, 20)) > 0.97
 
 
+def test_estimates_lie_within_their_bounds():
+    rnd = np.random.default_rng(5)
+    for dim in (3, 64, 100):
+        vs, qs = ann.unit(rnd.normal(size=(400, dim))), ann.unit(rnd.normal(size=(20, dim)))
+        packed, factors = ann.codes(vs @ ann.rotation(dim))
+        bits, step, low = ann.planes(qs @ ann.rotation(dim))
+        words = np.ascontiguousarray(packed.T)
+        off = []
+        for i, q in enumerate(qs):
+            found, bound = ann.estimates(words, factors, (bits[i], step[i], low[i]))
+            off.append(np.abs(found - vs @ q) / bound)
+        assert (np.array(off) <= 1).mean() > 0.995 and np.median(off) > 0.02, dim
+
+
+def test_copies_of_a_query_and_of_its_neighbours(spark):
+    rnd = np.random.default_rng(9)
+    bases = [[float(x) for x in rnd.normal(size=8).astype(np.float32)] for _ in range(6)]
+    rows = [(i, bases[0] if i % 3 == 0 else bases[i % 6]) for i in range(600)]
+    df = spark.createDataFrame([(i, v, 0, "s", 1, 2) for i, v in rows], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
+    want = brute(rows, 50)
+    same = [(q, i) for q, x in want.items() for i, _ in x]
+    assert [(q, v) for q, _, v in got] == sorted(same, key=lambda x: x[0]) or {(q, v) for q, _, v in got} == set(same)
+
+
 def test_edge_rows(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(0, one), (1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 2.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0])]

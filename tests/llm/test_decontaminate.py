@@ -37,12 +37,12 @@ def test_matches_brute_force(spark):
     for block in (decontaminate.BLOCK_CHARS, 20):
         decontaminate.BLOCK_CHARS, old = block, decontaminate.BLOCK_CHARS
         got = decontaminate.scan(frame(spark, docs), bench).collect()
+        kept = decontaminate.drop_contaminated(frame(spark, docs), bench).collect()
         decontaminate.BLOCK_CHARS = old
         want = sorted((str(i), *brute(t, known)) for i, t in docs)
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == want
-    kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
-    fine = [(i, t) for i, t in docs if not ((b := brute(t, known))[1] > 0 and 20 * b[1] >= b[0])]
-    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, fine))
+        fine = [(i, t) for i, t in docs if not ((b := brute(t, known))[1] > 0 and 20 * b[1] >= b[0])]
+        assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, fine))
 
 
 def test_spans_go_and_long_texts_stay_whole(spark):
