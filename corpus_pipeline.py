@@ -13,27 +13,42 @@ from spoor.llm import decontaminate, langid, linedup, sentencepiece, shared, sim
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or a clear language go. The model learns from two thirds of docs (operator 5)."""
+    """Documents without a letter or a clear language go. The model learns from a sample of two thirds of docs (operator 5).
+
+    Null and empty texts go. Repeated rows stay or go together, here and in the stages below but
+    near_duplicates; texts of any length are taken whole; an empty table stays empty; further columns are kept.
+    """
+    shared.release()
     return langid.keep_identified(docs, langid.learned(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that are nearly equal one stays in the whole corpus; documents left empty go (operator 2)."""
+    """Of lines that are nearly equal one stays in the whole corpus; documents left empty go (operator 2).
+
+    Null and empty texts stay as they are. Of equal lines the first by doc_id stays, so repeated rows keep equal texts.
+    """
+    shared.release()
     return linedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (operator 4)."""
+    """One document of each group of near-duplicates stays, that with the smallest doc_id (operator 4).
+
+    Null and empty texts are equal to each other. Of repeated rows one stays.
+    """
+    shared.release()
     return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words or more lie in benchmark windows go (operator 3)."""
+    """Documents of which a twentieth of the words or more lie in benchmark windows go (operator 3). Null and empty texts stay."""
+    shared.release()
     return decontaminate.drop_contaminated(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their number (operator 10)."""
+    """doc_id, ids, their number, and whether they decode to the text again (operator 10). Null and empty texts have no ids."""
+    shared.release()
     return sentencepiece.encode(docs, sentencepiece.Pieces.read()).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
