@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .indexes import POSTINGS, postings
 from .numbering import dense
 from .ranges import range_join
 
@@ -48,7 +49,12 @@ def call_tree(sig: DataFrame, last_seq: int | None = None, width: int = 65536) -
     run = "sum(d) over (partition by _bin order by seq rows between unbounded preceding and current row)"
     opened = rows.withColumn("_in", F.expr(run)).join(starts, "_bin").selectExpr("seq", "kind", "function_id", "_in + _start as open")
     framed = opened.withColumn("depth", F.expr("cast(if(kind = 'enter', open - 1, open) as int)"))
-    paired = framed.withColumn("exit_seq", F.expr("lead(seq) over (partition by depth order by seq)"))
+    # The signal after an enter at its depth is its return: the next in the bin, else the first of a later bin.
+    framed = framed.withColumn("_bin", F.floor(F.col("seq") / width))
+    heads = framed.groupBy("depth", "_bin").agg(F.min("seq").alias("_head"))
+    after = heads.selectExpr("depth", "_bin", "lead(_head) over (partition by depth order by _bin) as _after")
+    near = framed.withColumn("_next", F.expr("lead(seq) over (partition by depth, _bin order by seq)"))
+    paired = near.join(after, ["depth", "_bin"]).withColumn("exit_seq", F.coalesce("_next", "_after")).drop("_bin", "_next", "_after")
     frames = dense(paired.where("kind = 'enter'"), "seq", "call_key", width)
     # Every frame's end reads the least open, so that an underflow can't be pruned away.
     bounds = opened.agg(F.max("seq").alias("_last"), F.min("open").alias("_low"))
@@ -64,9 +70,9 @@ def call_tree(sig: DataFrame, last_seq: int | None = None, width: int = 65536) -
     return met.select("call_key", "function_id", "enter_seq", "exit_seq", left["depth"], F.coalesce("parent_call_key", F.lit(-1).cast("long")).alias("parent_call_key"))
 
 
-def children(tree: DataFrame) -> DataFrame:
-    """parent_call_key, children (keys in order), n: L's child by ordinal is element_at(children, i + 1)."""
-    return tree.where("parent_call_key >= 0").groupBy("parent_call_key").agg(F.sort_array(F.collect_list("call_key")).alias("children"))
+def children(tree: DataFrame, span: int = POSTINGS) -> DataFrame:
+    """parent_call_key, chunk_no, children (keys in order) of every call that has some."""
+    return postings(tree.where("parent_call_key >= 0"), ["parent_call_key"], "call_key", "children", span)
 
 
 def leaf_clamp(entry: str, step_count: str) -> str:

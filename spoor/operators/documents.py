@@ -13,14 +13,14 @@ def _part(df: DataFrame, phase: int, step: str, ordinal: str, kind: str, payload
     return df.selectExpr(f"cast({step} as bigint) as step_id", f"{phase} as phase", f"cast({ordinal} as bigint) as ordinal", f"'{kind}' as kind", f"{payload} as payload")
 
 
-def document(steps: DataFrame, calls: DataFrame, ios: DataFrame, step_count: int) -> DataFrame:
+def document(steps: DataFrame, calls: DataFrame, ios: DataFrame) -> DataFrame:
     """step_id, phase, ordinal, kind, payload: per step its call entries, itself, its I/O and its call exits (E-5).
 
     Column nudges are left out. Entries past the last step come at the end, by entry and key. The
     order is the first three columns; sort by them to print.
     """
-    inside = calls.where(F.col("entry_step") < step_count)
-    late = calls.where(F.col("entry_step") >= step_count)
+    known = calls.crossJoin(F.broadcast(steps.agg(F.coalesce(F.max("step_id") + 1, F.lit(0)).alias("_n"))))  # one row
+    inside, late = known.where("entry_step < _n"), known.where("entry_step >= _n")
     parts = [
         _part(inside, ENTRY, "entry_step", "call_key", "call_entry", "concat('f', function_id)"),
         _part(steps.where("kind <> 'delta_column'"), STEP, "step_id", "0", "step", "kind"),

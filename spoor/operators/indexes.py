@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def line_hits(positions: DataFrame) -> DataFrame:
-    """gli, step_ids (ascending), n of every line that a moving step reaches (F-1, F-2)."""
+#: Steps, keys or views of a chunk of an index: one key's postings come in rows of so many at most, however hot it is.
+POSTINGS = 65536
+
+
+def postings(rows: DataFrame, keys: list, value: str, out: str, span: int = POSTINGS, *more) -> DataFrame:
+    """keys, chunk_no, `out` (values in order) and what else is asked: one row for each key and `span` of values."""
+    chunk = F.floor(F.col(value) / span).cast("long").alias("chunk_no")
+    return rows.groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(value)).alias(out), *more)
+
+
+def line_hits(positions: DataFrame, span: int = POSTINGS) -> DataFrame:
+    """gli, chunk_no, step_ids (ascending), n of every line that a moving step reaches (F-1, F-2)."""
     moved = positions.where("kind in ('absolute', 'delta')")
-    return moved.groupBy(F.col("position").alias("gli")).agg(F.sort_array(F.collect_list("step_id")).alias("step_ids"), F.count("*").alias("n"))
+    return postings(moved, [F.col("position").alias("gli")], "step_id", "step_ids", span, F.count("*").alias("n"))
 
 
 def lookup_hits(hits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -20,17 +30,14 @@ def lookup_hits(hits: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def hit_counts(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     """gli, n; 0 for a line that was never reached (F-2)."""
-    return wanted.select("gli").join(hits.select("gli", "n"), "gli", "left").select("gli", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    sums = hits.groupBy("gli").agg(F.sum("n").alias("n"))
+    return wanted.select("gli").join(sums, "gli", "left").select("gli", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def step_map(located: DataFrame) -> DataFrame:
-    """path_id, line, step_count, first_step_id, last_step_id, step_ids of every source line (F-4)."""
-    return located.groupBy("path_id", "line").agg(
-        F.count("*").alias("step_count"),
-        F.min("step_id").alias("first_step_id"),
-        F.max("step_id").alias("last_step_id"),
-        F.sort_array(F.collect_list("step_id")).alias("step_ids"),
-    )
+def step_map(located: DataFrame, span: int = POSTINGS) -> DataFrame:
+    """path_id, line, chunk_no, step_count, first_step_id, last_step_id, step_ids of every source line (F-4)."""
+    more = (F.count("*").alias("step_count"), F.min("step_id").alias("first_step_id"), F.max("step_id").alias("last_step_id"))
+    return postings(located, ["path_id", "line"], "step_id", "step_ids", span, *more)
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], parts: int | None = None) -> None:
@@ -65,6 +72,6 @@ def memory_writes(writes: DataFrame) -> DataFrame:
     )
 
 
-def views_of_paths(views: DataFrame) -> DataFrame:
-    """path_id, view_idxs (ascending): the reverse index of source views (E-8)."""
-    return views.groupBy("path_id").agg(F.sort_array(F.collect_list("view_idx")).alias("view_idxs"))
+def views_of_paths(views: DataFrame, span: int = POSTINGS) -> DataFrame:
+    """path_id, chunk_no, view_idxs (ascending): the reverse index of source views (E-8)."""
+    return postings(views, ["path_id"], "view_idx", "view_idxs", span)

@@ -37,14 +37,16 @@ STEPS = f"""steps AS (SELECT event_id AS step_id, CAST((event_id - event_id % {C
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """call_key, function_id, entry_step, exit_step, depth: nested intervals of steps of widths 1000, 100 and 10.
+    """call_key, function_id, entry_step, exit_step, depth: intervals of 900, 90 and 7 of each 1000, 100 and 10 steps.
+
+    None crosses the end of another; some lie outside those of the next greater width, so depth is an order here, not a count.
 
     Keys number the calls by entry and depth. Each width has its own rank by arithmetic over its
     own entries, so nothing is sorted in one task: a call's key is the number of calls of all
     widths that enter before it, or with it at a smaller depth.
     """
     ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("e"))
-    shapes = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(w).alias("w"), F.lit(k).alias("keep")) for d, w, k in ((0, 1000, 950), (1, 100, 90), (2, 10, 7))])
+    shapes = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(w).alias("w"), F.lit(k).alias("keep")) for d, w, k in ((0, 1000, 900), (1, 100, 90), (2, 10, 7))])
     rows = ids.select("e", F.explode(shapes).alias("g")).selectExpr("e", "g.depth", "cast(g.w as bigint) as w", "g.keep").where("e % w < keep")
     spans = rows.groupBy("depth", "w", F.expr("e - e % w").alias("first")).agg(F.min("e").alias("entry_step"), F.max("e").alias("exit_step"))
     before = "+".join(f"(entry_step div {w} + if(entry_step % {w} > 0 or depth > {d}, 1, 0))" for d, w in ((0, 1000), (1, 100), (2, 10)))
@@ -54,7 +56,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS = """calls AS (SELECT CAST(row_number() OVER (ORDER BY min(e), depth) - 1 AS BIGINT) AS call_key,
   CAST((min(e) - min(e) % w) / w AS BIGINT) % 20 AS function_id, min(e) AS entry_step, max(e) AS exit_step, depth
   FROM (SELECT event_id AS e FROM events) s
-  CROSS JOIN (SELECT 0 AS depth, 1000 AS w, 950 AS keep UNION ALL SELECT 1, 100, 90 UNION ALL SELECT 2, 10, 7) g
+  CROSS JOIN (SELECT 0 AS depth, 1000 AS w, 900 AS keep UNION ALL SELECT 1, 100, 90 UNION ALL SELECT 2, 10, 7) g
   WHERE e % w < keep GROUP BY depth, w, e - e % w)"""
 
 POSITIONS = """positions AS (SELECT step_id, kind, CAST(sum(v) OVER (PARTITION BY seg ORDER BY step_id
@@ -111,16 +113,16 @@ THREADS = """threads AS (SELECT user_id AS thread_id, event_id AS geid, epoch_us
 
 def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path_id, path, line_lengths (bytes of each line, its end included): documents as source files."""
-    rows = table(spark, sf_dir, "documents").where("doc_id < 200")
-    return rows.selectExpr("doc_id as path_id", "concat('/src/', source, '/', lang, '/f', doc_id, '.py') as path", "transform(split(text, '\\n', -1), l -> octet_length(l) + 1) as line_lengths")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id as path_id", "concat('/src/', source, '/', lang, '/f', doc_id, '.py') as path", "transform(split(text, '\\n', -1), l -> octet_length(l) + 1) as line_lengths")
 
 
 PATHS = """paths AS (SELECT doc_id AS path_id, '/src/' || source || '/' || lang || '/f' || doc_id || '.py' AS path,
-  list_transform(string_split(text, chr(10)), lambda l: strlen(l) + 1) AS line_lengths FROM documents WHERE doc_id < 200)"""
+  list_transform(string_split(text, chr(10)), lambda l: strlen(l) + 1) AS line_lengths FROM documents)"""
 
 
-def source_views(spark: SparkSession, sf_dir: str, files: int = 200) -> DataFrame:
-    return table(spark, sf_dir, "pages").selectExpr("page_id as view_idx", f"page_id % {files} as path_id", "cast(page_id % 3 as int) as view_kind", "url as view_name", "html as content")
+def source_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """view_idx, path_id, view_kind, view_name, content: three views of each path."""
+    return table(spark, sf_dir, "pages").selectExpr("page_id as view_idx", "page_id div 3 as path_id", "cast(page_id % 3 as int) as view_kind", "url as view_name", "html as content")
 
 
-VIEWS = "views AS (SELECT page_id AS view_idx, page_id % 200 AS path_id, CAST(page_id % 3 AS INTEGER) AS view_kind, url AS view_name, html AS content FROM pages)"
+VIEWS = "views AS (SELECT page_id AS view_idx, page_id // 3 AS path_id, CAST(page_id % 3 AS INTEGER) AS view_kind, url AS view_name, html AS content FROM pages)"

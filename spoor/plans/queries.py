@@ -10,21 +10,7 @@ from ..operators import carry, documents, filters, indexes, ranges, stats
 from ..operators import positions as P
 from ..operators.numbering import interned
 from . import projections as T
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str, *ctes: str):
-    """Register a query under its name, with the SQL of its result."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
-        return f
-
-    return keep
-
+from .registry import query
 
 MOVING = "kind IN ('absolute', 'delta')"
 LOCATED = f"""located AS (SELECT step_id, CAST((position - position % {T.STRIDE}) / {T.STRIDE} AS BIGINT) AS path_id,
@@ -111,35 +97,47 @@ def all_calls(spark, sf):
     return T.calls(spark, sf)
 
 
-@query(
-    """SELECT c.call_key, c.function_id, c.entry_step * 8 + c.depth AS enter_seq, c.exit_step * 8 + 7 - c.depth AS exit_seq, c.depth,
-    coalesce(p.call_key, -1) AS parent_call_key FROM calls c LEFT JOIN calls p ON p.depth = c.depth - 1 AND p.entry_step <= c.entry_step AND p.exit_step >= c.exit_step
-    WHERE c.depth = 0 OR c.entry_step % 1000 < 900 AND (c.depth = 1 OR c.entry_step % 100 < 90)""",
-    T.CALLS,
-)
+FRAMES = """frames AS (SELECT c.call_key, c.function_id, c.entry_step * 8 + c.depth AS enter_seq, c.exit_step * 8 + 7 - c.depth AS exit_seq,
+  CAST(count(p.call_key) AS INTEGER) AS depth, coalesce(max(p.call_key), -1) AS parent_call_key
+  FROM calls c LEFT JOIN calls p ON p.depth < c.depth AND p.entry_step <= c.entry_step AND p.exit_step >= c.exit_step GROUP BY ALL)"""
+
+
+@query("SELECT * FROM frames", T.CALLS, FRAMES)
 def call_tree(spark, sf):
-    """Keys, depths and parents rebuilt from enter and return signals of calls that lie inside calls (R5)."""
-    calls = T.calls(spark, sf)
-    proper = calls.where("depth = 0 or entry_step % 1000 < 900 and (depth = 1 or entry_step % 100 < 90)")
-    tree = C.call_tree(C.signals(proper))
-    keys = proper.selectExpr("call_key as own", "entry_step * 8 + depth as enter_seq")
-    named = tree.join(keys, "enter_seq").select("call_key", "own")
-    up = named.withColumnRenamed("call_key", "parent_call_key").withColumnRenamed("own", "parent")
-    both = tree.join(keys, "enter_seq").join(up, "parent_call_key", "left")
-    return both.select(F.col("own").alias("call_key"), "function_id", "enter_seq", "exit_seq", "depth", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent_call_key"))
+    """Keys, depths and parents rebuilt from the enter and return signals of every call (R5)."""
+    return C.call_tree(C.signals(T.calls(spark, sf)))
+
+
+@query("SELECT parent_call_key, call_key // 4096 AS chunk_no, string_agg(CAST(call_key AS VARCHAR), ',' ORDER BY call_key) AS children FROM frames WHERE parent_call_key >= 0 GROUP BY 1, 2", T.CALLS, FRAMES)
+def call_children(spark, sf):
+    """The calls inside each call, in order and in chunks of keys."""
+    tree = C.children(C.call_tree(C.signals(T.calls(spark, sf))), 4096)
+    return tree.withColumn("children", F.array_join("children", ","))
 
 
-@query("SELECT position AS gli, count(*) AS n, min(step_id) AS first, max(step_id) AS last, CAST(sum(step_id) AS BIGINT) AS total FROM positions WHERE kind IN ('absolute', 'delta') GROUP BY 1", T.STEPS, T.POSITIONS)
+HITS = "SELECT position AS gli, step_id // 65536 AS chunk_no, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS step_ids, count(*) AS n FROM positions WHERE kind IN ('absolute', 'delta') GROUP BY 1, 2"
+
+
+@query(HITS, T.STEPS, T.POSITIONS)
 def line_hits(spark, sf):
-    """The step ids of each line, here as count, ends and sum (F-1)."""
-    hits = indexes.line_hits(P.positions(T.steps(spark, sf)))
-    return hits.select("gli", "n", F.col("step_ids")[0].alias("first"), F.element_at("step_ids", -1).alias("last"), F.expr("aggregate(step_ids, 0L, (a, x) -> a + x)").alias("total"))
+    """The step ids of each line, in chunks of the trace (F-1)."""
+    return indexes.line_hits(P.positions(T.steps(spark, sf))).withColumn("step_ids", F.array_join("step_ids", ","))
 
 
-@query("SELECT g AS gli, count(step_id) AS n FROM (SELECT unnest(range(1, 200)) AS g) LEFT JOIN positions ON position = g AND kind IN ('absolute', 'delta') GROUP BY 1", T.STEPS, T.POSITIONS)
+@query("SELECT g AS gli, count(step_id) AS n FROM (SELECT DISTINCT position + 1 AS g FROM positions) LEFT JOIN positions ON position = g AND kind IN ('absolute', 'delta') GROUP BY 1", T.STEPS, T.POSITIONS)
 def line_hit_counts(spark, sf):
-    """Hits of asked lines, 0 where none (F-2)."""
-    return indexes.hit_counts(indexes.line_hits(P.positions(T.steps(spark, sf))), spark.range(1, 200).withColumnRenamed("id", "gli"))
+    """Hits of asked lines, here those after every line there is, 0 where none (F-2)."""
+    positions = P.positions(T.steps(spark, sf))
+    wanted = positions.select((F.col("position") + 1).alias("gli")).distinct()
+    return indexes.hit_counts(indexes.line_hits(positions), wanted)
+
+
+@query(f"SELECT * FROM ({HITS}) WHERE gli % 2 = 1", T.STEPS, T.POSITIONS)
+def line_lookup(spark, sf):
+    """The step ids of asked lines, here the odd ones that were reached; others would raise an error (E-9)."""
+    hits = indexes.line_hits(P.positions(T.steps(spark, sf)))
+    wanted = hits.where("gli % 2 = 1").select("gli").distinct()
+    return indexes.lookup_hits(hits, wanted).withColumn("step_ids", F.array_join("step_ids", ","))
 
 
 @query("SELECT count(DISTINCT position) AS lines FROM positions WHERE kind IN ('absolute', 'delta')", T.STEPS, T.POSITIONS)
@@ -148,9 +146,9 @@ def line_count(spark, sf):
     return P.positions(T.steps(spark, sf)).where("kind in ('absolute', 'delta')").agg(F.countDistinct("position").alias("lines"))
 
 
-@query(f"SELECT path_id, line, count(*) AS step_count, min(step_id) AS first_step_id, max(step_id) AS last_step_id, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS steps FROM located WHERE {MOVING} GROUP BY ALL", T.STEPS, T.POSITIONS, LOCATED)
+@query(f"SELECT path_id, line, step_id // 65536 AS chunk_no, count(*) AS step_count, min(step_id) AS first_step_id, max(step_id) AS last_step_id, string_agg(CAST(step_id AS VARCHAR), ',' ORDER BY step_id) AS steps FROM located WHERE {MOVING} GROUP BY ALL", T.STEPS, T.POSITIONS, LOCATED)
 def step_map(spark, sf):
-    """The breakpoint index: steps of each path and line (F-4)."""
+    """The breakpoint index: steps of each path and line, in chunks of the trace (F-4)."""
     return indexes.step_map(located(spark, sf)).withColumn("steps", F.array_join("step_ids", ",")).drop("step_ids")
 
 
@@ -190,9 +188,12 @@ def io_page(spark, sf):
     return ranges.page(T.io_events(spark, sf), "io_index", 100, 50)
 
 
-LINE_TABLE = """bases AS (SELECT path_id, i AS line, line_lengths[i] AS len, fb + list_sum(line_lengths[1:i]) - line_lengths[i] AS base FROM (
-  SELECT path_id, line_lengths, sum(total) OVER (ORDER BY path_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total AS fb
-  FROM (SELECT *, list_sum(line_lengths) AS total FROM paths)), (SELECT unnest(range(1, 20000)) AS i) WHERE i <= len(line_lengths))"""
+LINE_TABLE = """bases AS (SELECT path_id, line, len, fb + sum(len) OVER (PARTITION BY path_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len AS base FROM (
+  SELECT path_id, unnest(line_lengths) AS len, unnest(range(1, len(line_lengths) + 1)) AS line,
+    sum(total) OVER (ORDER BY path_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - total AS fb
+  FROM (SELECT *, list_sum(line_lengths) AS total FROM paths)))"""
+DECODED = """decoded AS (SELECT e.event_id AS step_id, e.event_id * 37 AS position, b.path_id, CAST(b.line AS INTEGER) AS line, CAST(e.event_id * 37 - base + 1 AS INTEGER) AS "column"
+  FROM events e JOIN bases b ON e.event_id * 37 >= base AND e.event_id * 37 < base + len)"""
 
 
 @query("SELECT path_id, CAST(line AS INTEGER) AS line, CAST(len AS BIGINT) AS len, CAST(base AS BIGINT) AS base FROM bases", T.PATHS, LINE_TABLE)
@@ -201,23 +202,41 @@ def line_bases(spark, sf):
     return P.line_bases(T.line_lengths(spark, sf))
 
 
-@query("SELECT e.event_id AS step_id, e.event_id * 37 AS position, b.path_id, CAST(b.line AS INTEGER) AS line, CAST(e.event_id * 37 - base + 1 AS INTEGER) AS \"column\" FROM events e JOIN bases b ON e.event_id * 37 >= base AND e.event_id * 37 < base + len", T.PATHS, LINE_TABLE)
+@query("SELECT * FROM decoded", T.PATHS, LINE_TABLE, DECODED)
 def decode_positions(spark, sf):
     """Positions in the space of bytes as path, line and column; those beyond every file have no row (E-3)."""
     points = T.table(spark, sf, "events").selectExpr("event_id as step_id", "event_id * 37 as position")
     return P.decode(points, T.line_lengths(spark, sf))
 
 
-@query("SELECT path_id, count(*) AS n, string_agg(CAST(view_idx AS VARCHAR), ',' ORDER BY view_idx) AS views FROM views GROUP BY 1", T.VIEWS)
+@query(
+    f"""SELECT e.event_id AS step_id, e.event_id * 37 AS position, coalesce(d.path_id, e.event_id * 37 // {T.STRIDE}) AS path_id,
+    coalesce(CAST(d.line AS BIGINT), e.event_id * 37 % {T.STRIDE}) AS line, coalesce(d."column", 1) AS "column" FROM events e LEFT JOIN decoded d ON d.step_id = e.event_id""",
+    T.PATHS, LINE_TABLE, DECODED,
+)
+def step_locations(spark, sf):
+    """Path, line and column of positions, by line tables or else by the stride (E-7)."""
+    points = T.table(spark, sf, "events").selectExpr("event_id as step_id", "event_id * 37 as position")
+    return P.locations(points, T.line_lengths(spark, sf))
+
+
+@query("SELECT path_id, line_lengths[CAST(path_id % 7 AS INTEGER) + 1] AS own, CAST(len(line_lengths) AS INTEGER) AS lines FROM paths", T.PATHS)
+def line_length_reads(spark, sf):
+    """The length of one line of each file, null beyond its last, and the number of lines."""
+    return T.line_lengths(spark, sf).select("path_id", S.line_length(F.col("line_lengths"), (F.col("path_id") % 7).cast("int")).cast("long").alias("own"), F.size("line_lengths").alias("lines"))
+
+
+@query("SELECT path_id, view_idx // 65536 AS chunk_no, count(*) AS n, string_agg(CAST(view_idx AS VARCHAR), ',' ORDER BY view_idx) AS views FROM views GROUP BY 1, 2", T.VIEWS)
 def views_of_paths(spark, sf):
-    """Source views of each path (E-8)."""
-    return indexes.views_of_paths(T.source_views(spark, sf)).select("path_id", F.size("view_idxs").cast("long").alias("n"), F.array_join("view_idxs", ",").alias("views"))
+    """Source views of each path, in chunks of their numbers (E-8)."""
+    views = indexes.views_of_paths(T.source_views(spark, sf))
+    return views.select("path_id", "chunk_no", F.size("view_idxs").cast("long").alias("n"), F.array_join("view_idxs", ",").alias("views"))
 
 
-@query("SELECT view_idx, path_id, view_kind, view_name FROM views WHERE path_id NOT IN (SELECT path_id FROM paths WHERE path_id < 20)", T.VIEWS, T.PATHS)
+@query("SELECT view_idx, path_id, view_kind, view_name FROM views WHERE path_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')", T.VIEWS)
 def views_without_path(spark, sf):
-    """Source views whose path isn't registered: the check of a writer."""
-    paths = T.line_lengths(spark, sf).where("path_id < 20").select("path_id")
+    """Source views whose path isn't registered, here all but English documents: the check of a writer."""
+    paths = T.table(spark, sf, "documents").where("lang = 'en'").selectExpr("doc_id as path_id")
     return T.source_views(spark, sf).drop("content").join(paths, "path_id", "left_anti")
 
 
@@ -230,35 +249,38 @@ DOC = """doc AS (SELECT entry_step AS step_id, 0 AS phase, call_key AS ordinal,
 def document(spark, sf):
     """All that happens at each step, woven into one order (E-5)."""
     steps = T.steps(spark, sf)
-    return documents.document(steps, T.calls(spark, sf), T.io_events(spark, sf), T.table(spark, sf, "events").count())
+    return documents.document(steps, T.calls(spark, sf), T.io_events(spark, sf))
 
 
 @query(
-    """SELECT section, phase, kind, count(*) AS n, CAST(sum(step_id) AS BIGINT) AS steps, CAST(sum(ordinal) AS BIGINT) AS ordinals FROM (
-    SELECT 0 AS section, 0 AS step_id, 0 AS phase, path_id AS ordinal, 'path' AS kind FROM paths
-    UNION ALL SELECT 1, 0, 0, p_partkey, 'function' FROM part WHERE p_partkey < 20
-    UNION ALL SELECT 2, entry_step, 0, depth * 1000000000 + call_key, 'call' FROM calls UNION ALL SELECT 2, step_id, 1, 0, 'step' FROM steps
-    UNION ALL SELECT 2, step_id, 2, ordinal, 'value' FROM vals UNION ALL SELECT 2, exit_step, 3, -(depth * 1000000000 + call_key), 'return' FROM calls
-    UNION ALL SELECT 3, step_id, 0, io_index, CASE kind WHEN 'error' THEN 'error' ELSE 'write' END FROM ios) GROUP BY ALL""",
+    """SELECT CAST(section AS INTEGER) AS section, CAST(step_id AS BIGINT) AS step_id, phase, CAST(ordinal AS BIGINT) AS ordinal, kind, payload FROM (
+    SELECT 0 AS section, 0 AS step_id, 0 AS phase, path_id AS ordinal, 'path' AS kind, path AS payload FROM paths
+    UNION ALL SELECT 1, 0, 0, p_partkey, 'function', p_name FROM part
+    UNION ALL SELECT 2, entry_step, 0, depth * 1000000000 + call_key, 'call', 'f' || function_id FROM calls UNION ALL SELECT 2, step_id, 1, 0, 'step', kind FROM steps
+    UNION ALL SELECT 2, step_id, 2, ordinal, 'value', varname FROM vals UNION ALL SELECT 2, exit_step, 3, -(depth * 1000000000 + call_key), 'return', 'f' || function_id FROM calls
+    UNION ALL SELECT 3, step_id, 0, io_index, CASE kind WHEN 'error' THEN 'error' ELSE 'write' END, data FROM ios)""",
     T.STEPS, T.CALLS, T.IO, T.VALUES, T.PATHS,
 )
 def low_level_events(spark, sf):
-    """The linear event list, counted by section and kind (I-1)."""
-    names = T.table(spark, sf, "part").where("p_partkey < 20").selectExpr("p_partkey as id", "p_name as name")
-    rows = documents.low_level(T.line_lengths(spark, sf), names, T.steps(spark, sf), T.calls(spark, sf), T.values(spark, sf), T.io_events(spark, sf))
-    return rows.groupBy("section", "phase", "kind").agg(F.count("*").alias("n"), F.sum("step_id").alias("steps"), F.sum("ordinal").alias("ordinals"))
+    """The linear event list (I-1)."""
+    names = T.table(spark, sf, "part").selectExpr("p_partkey as id", "p_name as name")
+    return documents.low_level(T.line_lengths(spark, sf), names, T.steps(spark, sf), T.calls(spark, sf), T.values(spark, sf), T.io_events(spark, sf))
 
 
 @query(
-    """SELECT phase, count(*) AS n, CAST(sum(step_id) AS BIGINT) AS steps FROM (SELECT -1 AS step_id, 0 AS phase FROM part WHERE p_partkey < 20
-    UNION ALL SELECT entry_step, 1 FROM calls UNION ALL SELECT step_id, 2 FROM steps UNION ALL SELECT step_id, 3 FROM vals UNION ALL SELECT step_id, 4 FROM ios) GROUP BY 1""",
+    """SELECT CAST(step_id AS BIGINT) AS step_id, phase, CAST(ordinal AS BIGINT) AS ordinal, CAST(json AS VARCHAR) AS json FROM (
+    SELECT -1 AS step_id, 0 AS phase, p_partkey AS ordinal, json_object('event', 'declaration', 'id', p_partkey, 'name', p_name) AS json FROM part
+    UNION ALL SELECT entry_step, 1, call_key, json_object('event', 'call', 'call_key', call_key, 'function_id', function_id) FROM calls
+    UNION ALL SELECT step_id, 2, 0, json_object('event', 'step', 'step_id', step_id, 'kind', kind) FROM steps
+    UNION ALL SELECT step_id, 3, ordinal, json_object('event', 'value', 'varname', varname, 'value', CAST(floor(value) AS BIGINT)) FROM vals
+    UNION ALL SELECT step_id, 4, io_index, json_object('event', 'io', 'io_index', io_index, 'kind', kind) FROM ios)""",
     T.STEPS, T.CALLS, T.IO, T.VALUES,
 )
 def json_events(spark, sf):
-    """The JSON event list, counted by phase (E-6)."""
-    names = T.table(spark, sf, "part").where("p_partkey < 20").selectExpr("p_partkey as id", "p_name as name")
-    rows = documents.json_events(names, T.steps(spark, sf), T.calls(spark, sf), T.values(spark, sf), T.io_events(spark, sf))
-    return rows.where("json is not null").groupBy("phase").agg(F.count("*").alias("n"), F.sum("step_id").alias("steps"))
+    """The JSON event list, values as whole numbers (E-6)."""
+    names = T.table(spark, sf, "part").selectExpr("p_partkey as id", "p_name as name")
+    values = T.values(spark, sf).withColumn("value", F.floor("value").cast("long"))
+    return documents.json_events(names, T.steps(spark, sf), T.calls(spark, sf), values, T.io_events(spark, sf))
 
 
 _NAMES = " ".join(f"WHEN {n + i} THEN '{x}'" for n, xs in S.NATIVE_EVENTS.items() for i, x in enumerate(xs.split()))
@@ -404,17 +426,17 @@ def memory_writes(spark, sf):
     return indexes.memory_writes(rows)
 
 
-@query("SELECT user_id AS key, max(event_id) AS commit_id, arg_max(value, event_id) AS payload FROM events WHERE event_id <= 500 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+@query("SELECT user_id AS key, max(event_id) AS commit_id, arg_max(value, event_id) AS payload FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def snapshot_read(spark, sf):
-    """Keys as a pinned commit shows them (E-12, K-7)."""
+    """Keys as a pinned commit, the one in the middle, shows them (E-12, K-7)."""
     rows = T.table(spark, sf, "events").selectExpr("user_id as key", "event_id as commit_id", "if(event_type = 'error', null, value) as payload")
-    return indexes.at_snapshot(rows, "key", 500)
+    return indexes.at_snapshot(rows, "key", rows.agg(F.max("commit_id")).first()[0] // 2)
 
 
-@query("SELECT l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 50) GROUP BY 1")
+@query("SELECT l_orderkey AS key, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def key_lookup(spark, sf):
-    """Payload rows of wanted keys (E-10, E-11)."""
-    wanted = T.table(spark, sf, "orders").where("o_custkey < 50").selectExpr("o_orderkey as key")
+    """Payload rows of wanted keys, here of finished orders (E-10, E-11)."""
+    wanted = T.table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey as key")
     return indexes.lookup(T.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "key"), wanted, "key").groupBy("key").agg(F.count("*").alias("n"))
 
 

@@ -30,7 +30,7 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _number(content: Column, at: int | Column, size: int) -> Column:
+def number(content: Column, at: int | Column, size: int) -> Column:
     """An unsigned little-endian number at a byte offset."""
     start = F.lit(at) if isinstance(at, int) else at
     digits = F.hex(F.substring(content, (start + 1).cast("int"), F.lit(size)))
@@ -39,28 +39,33 @@ def _number(content: Column, at: int | Column, size: int) -> Column:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """path, is_container, version, is_readable, encryption, max_shards, block_size, max_entries of each file."""
-    byte = lambda i: _number(F.col("content"), i, 1).cast("int")
-    name = lambda table, n: F.coalesce(F.get(F.array(*[F.lit(table[k]) for k in sorted(table)]), n), F.lit("unknown"))
-    good = F.substring("content", 1, 5) == F.lit(MAGIC)
+    """path, is_container, version, is_readable, compression, encryption, max_shards, block_size, max_entries of each file.
+
+    Version 3 has the compression at byte 6 and the encryption at byte 7, and no shards; the others have
+    the encryption at byte 6 and the shards at byte 7. Unknown numbers count as none.
+    """
+    byte = lambda i: number(F.col("content"), i, 1).cast("int")
+    name = lambda table, n: F.coalesce(F.get(F.array(*[F.lit(table[k]) for k in sorted(table)]), n), F.lit("none"))
+    good, third = F.substring("content", 1, 5) == F.lit(MAGIC), byte(5) == 3
     return files.select(
         "path",
         good.alias("is_container"),
         byte(5).alias("version"),
         (good & byte(5).isin(*VERSIONS)).alias("is_readable"),
-        name(ENCRYPTION, byte(6)).alias("encryption"),
-        byte(7).alias("max_shards"),
-        _number(F.col("content"), 8, 4).cast("long").alias("block_size"),
-        _number(F.col("content"), 12, 4).cast("long").alias("max_entries"),
+        F.when(third, name(COMPRESSION, byte(6))).otherwise("none").alias("compression"),
+        name(ENCRYPTION, F.when(third, byte(7)).otherwise(byte(6))).alias("encryption"),
+        F.when(third, 1).otherwise(F.greatest(byte(7), F.lit(1))).alias("max_shards"),
+        number(F.col("content"), 8, 4).cast("long").alias("block_size"),
+        number(F.col("content"), 12, 4).cast("long").alias("max_entries"),
     )
 
 
 def directory(files: DataFrame) -> DataFrame:
     """path, name, size, map_block of the named files in each container."""
-    known = files.withColumn("n", _number(F.col("content"), 12, 4).cast("int"))
+    known = files.withColumn("n", number(F.col("content"), 12, 4).cast("int"))
     slots = known.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     at = F.col("i") * ENTRY + HEADER
-    rows = slots.select("path", _number(F.col("content"), at + 16, 8).alias("code"), _number(F.col("content"), at, 8).cast("long").alias("size"), _number(F.col("content"), at + 8, 8).cast("long").alias("map_block"))
+    rows = slots.select("path", number(F.col("content"), at + 16, 8).alias("code"), number(F.col("content"), at, 8).cast("long").alias("size"), number(F.col("content"), at + 8, 8).cast("long").alias("map_block"))
     return rows.where("code > 0").select("path", unbase40(F.col("code")).alias("name"), "size", "map_block")
 
 
@@ -226,7 +231,7 @@ def fixed_records(files: DataFrame, name: str, size: int) -> DataFrame:
 def variable_records(files: DataFrame, base: str) -> DataFrame:
     """path, index, record of a table of records, cut at its little-endian 64-bit offsets."""
     data = streams(files, f"{base}.dat").withColumnRenamed("content", "dat")
-    offsets = fixed_records(files, f"{base}.off", 8).select("path", "index", _number(F.col("record"), 0, 8).cast("long").alias("start"))
+    offsets = fixed_records(files, f"{base}.off", 8).select("path", "index", number(F.col("record"), 0, 8).cast("long").alias("start"))
     ends = offsets.withColumn("end", F.expr("lead(start) over (partition by path order by index)"))
     both = ends.join(data, "path").withColumn("end", F.coalesce("end", F.octet_length("dat").cast("long")))
     return both.select("path", "index", F.substring(F.col("dat"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("record")).where("octet_length(record) > 0 or start < end")
@@ -250,5 +255,5 @@ def thread_events(files: DataFrame, thread_id: int, name: str) -> DataFrame:
 def split_traces(spark: SparkSession, folder: str) -> DataFrame:
     """index, path, content of the containers of a split trace, in the order of their names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ct").load(folder)
-    order = F.expr("row_number() over (order by path) - 1")  # one row a file
-    return files.select(order.alias("index"), "path", "content")
+    order = files.select("path").withColumn("index", F.expr("row_number() over (order by path) - 1"))  # one short row a file
+    return files.join(F.broadcast(order), "path").select("index", "path", "content")

@@ -20,8 +20,13 @@ def parse(texts: DataFrame, column: str = "value") -> DataFrame:
     return shards.select("trace_id", "segment", F.col("h.index").alias("shard"), "h.block_start", "h.block_end", F.explode("h.replicas").alias("r")).select("*", "r.replica_no", "r.uri").drop("r")
 
 
-def locate(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (segment, block_id) with the replicas that hold each block, the first one first (E-4)."""
-    met = wanted.join(manifest, ["segment"]).where("block_id between block_start and block_end")
+def locate(manifest: DataFrame, wanted: DataFrame, width: int = 4096) -> DataFrame:
+    """wanted (segment, block_id) with the replicas that hold each block, the first one first (E-4).
+
+    An equality join on segments and bins of blocks: a shard stands in each bin it touches.
+    """
+    bins = F.sequence(F.floor(F.col("block_start") / width), F.floor(F.col("block_end") / width))
+    held = manifest.select("segment", "block_start", "block_end", "replica_no", "uri", F.explode(bins).alias("_bin"))
+    met = wanted.withColumn("_bin", F.floor(F.col("block_id") / width)).join(held, ["segment", "_bin"]).where("block_id between block_start and block_end")
     replicas = F.sort_array(F.collect_list(F.struct("replica_no", "uri")))
     return met.groupBy("segment", "block_id").agg(replicas.alias("replicas"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +28,14 @@ def append(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in local mode, where that is unset, a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(top or 'file://' + tempfile.mkdtemp(prefix='spoor-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 PENDING = "thread_id long, step_seq long, names array<string>"
 
 
@@ -45,7 +55,7 @@ def pending_steps(signals: DataFrame) -> DataFrame:
                     names = []
                 step = row.seq
             else:
-                names = [*names, row.name]
+                names.append(row.name)
         state.update((step, names))
         yield pd.DataFrame(out, columns=["thread_id", "step_seq", "names"])
 

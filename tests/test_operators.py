@@ -6,31 +6,31 @@ from pyspark.sql import functions as F
 from spoor.functions import scalars as S
 from spoor.operators import calls, carry, documents, filters, indexes, numbering, positions, ranges, stats
 
-BASIC = """
+FIRST = """
 [meta]
 version = 1
 [scope]
-default_exec = "trace"
+default_exec = "skip"
 [[scope.rules]]
-selector = "file:glob:**/lib/std/**"
-exec = "skip"
-[[scope.rules]]
-selector = "file:literal:/repo/main.nim"
+selector = "file:glob:shop/**/*.py"
 exec = "trace"
 [[scope.rules]]
-selector = "local:regex:(?i)token"
+selector = "file:regex:_gen[.]py$"
+exec = "skip"
+[[scope.rules]]
+selector = "arg:glob:card*"
 exec = "skip"
 """
-MORE = '[meta]\nversion = 1\n[[scope.rules]]\nselector = "file:literal:/repo/lib/std/important.nim"\nexec = "trace"\n'
+SECOND = '[meta]\nversion = 1\n[[scope.rules]]\nselector = "file:literal:shop/api/v2_gen.py"\nexec = "trace"\n'
 
 
 def test_filters(spark):
-    rules = filters.compile_filters(BASIC, MORE)
-    paths = ["/repo/lib/std/a.nim", "lib/std/x/y", "/repo/main.nim", "/repo/lib/std/important.nim", "/lib/stdx/a"]
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
-    assert [r.d for r in df.select(rules.classify(F.col("path")).alias("d")).collect()] == ["skip", "skip", "trace", "trace", "trace"]
+    rules = filters.compile_filters(FIRST, SECOND)
+    want = {"shop/cart/total.py": "trace", "shop/api/v1_gen.py": "skip", "shop/api/v2_gen.py": "trace", "tools/build.py": "skip", "shop/readme.md": "skip"}
+    df = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: r.d for r in df.select("path", rules.classify(F.col("path")).alias("d")).collect()} == want
     assert rules.rule_count == 3 and len(rules.warnings) == 1
-    for glob, text, want in (("*.nim", "a.nim", True), ("*.nim", "a/b.nim", False), ("**/x", "x", True), ("a?c", "a/c", False), ("[!a]b", "cb", True), ("[!a]b", "ab", False), ("a.b", "axb", False), ("**", "a/b", True), ("[ab", "[ab", True)):
+    for glob, text, want in (("*.py", "a.py", True), ("*.py", "a/b.py", False), ("**/x", "x", True), ("a?c", "a/c", False), ("[!a]b", "cb", True), ("[!a]b", "ab", False), ("a.b", "axb", False), ("**", "a/b", True), ("[ab", "[ab", True)):
         hit = spark.range(1).select(F.lit(text).rlike(filters.glob_regex(glob)).alias("x")).first().x
         assert hit == want, (glob, text)
     for bad in ("nocolon", "weird:x", "file:", "file:regex:"):
@@ -95,15 +95,21 @@ def test_call_tree_and_errors(spark):
     assert got == [(0, 1, 0, 12, 0, -1), (1, 2, 1, 2, 1, 0), (2, 3, 3, 9, 1, 0), (3, 4, 4, 5, 2, 2), (4, 5, 12, 12, 1, 0)]
     tree = calls.call_tree(df)
     assert {r.parent_call_key: r.children for r in calls.children(tree).collect()} == {0: [1, 2, 4], 2: [3]}
+    assert sorted((r.parent_call_key, r.chunk_no, r.children) for r in calls.children(tree, 2).collect()) == [(0, 0, [1]), (0, 1, [2]), (0, 2, [4]), (2, 1, [3])]
     with pytest.raises(Exception):
         calls.call_tree(spark.createDataFrame([(0, "return", 1), (1, "enter", 2)], "seq long, kind string, function_id long")).collect()
 
 
-def test_step_map_example(spark):
-    rows = [(0, 10, s) for s in (102, 2, 52)] + [(0, 11, 3), (2, 7, 9), (2, 7, 8)]
+def test_step_map_in_chunks(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(3), rnd.randrange(4), s) for s in rnd.sample(range(1000), 200)]
     df = spark.createDataFrame(rows, "path_id long, line long, step_id long")
-    got = {(r.path_id, r.line): r.step_ids for r in indexes.step_map(df).collect()}
-    assert got == {(0, 10): [2, 52, 102], (0, 11): [3], (2, 7): [8, 9]}
+    want = {}
+    for p, line, s in sorted(rows, key=lambda r: r[2]):
+        want.setdefault((p, line, s // 300), []).append(s)
+    got = indexes.step_map(df, 300).collect()
+    assert {(r.path_id, r.line, r.chunk_no): r.step_ids for r in got} == want
+    assert all((r.step_count, r.first_step_id, r.last_step_id) == (len(r.step_ids), r.step_ids[0], r.step_ids[-1]) for r in got)
     assert indexes.step_map(df.limit(0)).collect() == []
 
 
@@ -136,5 +142,5 @@ def test_document_puts_late_entries_last(spark):
     steps = spark.createDataFrame([(0, "absolute"), (1, "delta_column")], "step_id long, kind string")
     table = spark.createDataFrame([(0, 1, 0, 1), (1, 2, 9, 9)], "call_key long, function_id long, entry_step long, exit_step long")
     ios = spark.createDataFrame([(0, 0, "stdout")], "io_index long, step_id long, kind string")
-    rows = [(r.step_id, r.kind, r.ordinal) for r in documents.document(steps, table, ios, 2).orderBy(*documents.ORDER).collect()]
+    rows = [(r.step_id, r.kind, r.ordinal) for r in documents.document(steps, table, ios).orderBy(*documents.ORDER).collect()]
     assert rows == [(0, "call_entry", 0), (0, "step", 0), (0, "io", 0), (1, "call_exit", 0), (9, "call_entry", 1)]

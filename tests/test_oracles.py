@@ -1,9 +1,9 @@
 import pytest
 
-from spoor.plans import queries
+from spoor.plans import codecs, queries, registry, streams
 from tests.oracle import same
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_same_rows_as_sql(spark, sf, name):
-    assert same(spark, sf, queries.QUERIES[name], queries.ORACLE_SQL[name]) > 0
+    assert same(spark, sf, registry.QUERIES[name], registry.ORACLE_SQL[name]) > 0

@@ -24,6 +24,10 @@ def test_container_round_trip(spark, tmp_path):
     heads = {r.path.rsplit("/", 1)[1]: r for r in container.headers(opened).collect()}
     assert heads["a.ct"].is_readable and heads["a.ct"].block_size == 256 and heads["a.ct"].encryption == "none"
     assert not heads["junk.ct"].is_container
+    third = bytearray((tmp_path / "a.ct").read_bytes())
+    third[5:8] = 3, 1, 1
+    old = spark.createDataFrame([("x.ct", third)], "path string, content binary")
+    assert container.headers(old).select("compression", "encryption", "max_shards").first()[:] == ("zstd", "aes256gcm", 1)
     good = opened.where("path like '%a.ct'")
     assert {(r.name, r["size"]) for r in container.directory(good).collect()} == {(n, len(d)) for n, d in files.items()}
     assert [bytes(r.content) for r in container.streams(good, "big.dat").collect()] == [big]
