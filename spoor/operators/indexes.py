@@ -16,10 +16,10 @@ def postings(rows: DataFrame, keys: list, value: str, out: str, span: int = POST
     return rows.groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(value)).alias(out), *more)
 
 
-def line_hits(positions: DataFrame, span: int = POSTINGS) -> DataFrame:
-    """gli, chunk_no, step_ids (ascending), n of every line that a moving step reaches (F-1, F-2)."""
+def line_hits(positions: DataFrame, span: int = POSTINGS, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, gli, chunk_no, step_ids (ascending), n of every line that a moving step reaches (F-1, F-2)."""
     moved = positions.where("kind in ('absolute', 'delta')")
-    return postings(moved, [F.col("position").alias("gli")], "step_id", "step_ids", span, F.count("*").alias("n"))
+    return postings(moved, [*by, F.col("position").alias("gli")], "step_id", "step_ids", span, F.count("*").alias("n"))
 
 
 def lookup_hits(hits: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def hit_counts(hits: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("gli").join(sums, "gli", "left").select("gli", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def step_map(located: DataFrame, span: int = POSTINGS) -> DataFrame:
-    """path_id, line, chunk_no, step_count, first_step_id, last_step_id, step_ids of every source line (F-4)."""
+def step_map(located: DataFrame, span: int = POSTINGS, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, path_id, line, chunk_no, step_count, first_step_id, last_step_id, step_ids of every source line (F-4)."""
     more = (F.count("*").alias("step_count"), F.min("step_id").alias("first_step_id"), F.max("step_id").alias("last_step_id"))
-    return postings(located, ["path_id", "line"], "step_id", "step_ids", span, *more)
+    return postings(located, [*by, "path_id", "line"], "step_id", "step_ids", span, *more)
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], parts: int | None = None) -> None:

@@ -5,38 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.projections import CHUNK, STRIDE
 from .ranges import range_join
 
+#: Steps of a chunk of the step stream; values and calls have 256, I/O events 64.
+CHUNK = 4096
+#: Positions a file spans when files are packed into one index.
+STRIDE = 100_000
+
 _MOVES = "kind in ('absolute', 'delta', 'delta_column')"
 
 
-def within_chunks(steps: DataFrame) -> DataFrame:
+def within_chunks(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """steps with seg (absolute steps so far in the chunk) and part (the sum since the last of them)."""
-    own = "partition by chunk_id order by step_id rows between unbounded preceding and current row"
-    rows = steps.withColumn("seg", F.expr(f"sum(if(kind = 'absolute', 1, 0)) over ({own})"))
-    part = "sum(if(" + _MOVES + ", v, 0L)) over (partition by chunk_id, seg order by step_id rows between unbounded preceding and current row)"
-    return rows.withColumn("part", F.expr(part))
+    keys = ", ".join([*by, "chunk_id"])
+    upto = "order by step_id rows between unbounded preceding and current row"
+    rows = steps.withColumn("seg", F.expr(f"sum(if(kind = 'absolute', 1, 0)) over (partition by {keys} {upto})"))
+    return rows.withColumn("part", F.expr(f"sum(if({_MOVES}, v, 0L)) over (partition by {keys}, seg {upto})"))
 
 
-def positions(steps: DataFrame) -> DataFrame:
-    """step_id, kind, position of every step, carried over chunk boundaries (G-1, G-7).
+def positions(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, step_id, kind, position of every step, carried over chunk boundaries (G-1, G-7).
 
-    Two levels: sums inside each chunk, then a running sum over one row a chunk, whose
-    result each chunk starts from until its first absolute step.
+    by: columns that tell traces apart. Two levels: sums inside each chunk, then a running sum
+    over one row a chunk, whose result each chunk starts from until its first absolute step.
     """
-    rows = within_chunks(steps)
-    ends = rows.groupBy("chunk_id").agg(F.max("seg").alias("n"), F.max_by("part", "step_id").alias("tail"))
-    ends = ends.withColumn("g", F.expr("sum(if(n > 0, 1, 0)) over (order by chunk_id rows between unbounded preceding and current row)"))
-    ends = ends.withColumn("out", F.expr("sum(tail) over (partition by g order by chunk_id rows between unbounded preceding and current row)"))
-    carry = ends.selectExpr("chunk_id", "coalesce(lag(out) over (order by chunk_id), 0L) as carry")
-    joined = rows.join(carry, "chunk_id")
-    return joined.selectExpr("step_id", "kind", "cast(part + if(seg = 0, carry, 0L) as bigint) as position")
-
-
-def position_point(steps: DataFrame) -> DataFrame:
-    """step_id, kind, position as a point read gives it, starting from 0 in each chunk (G-2)."""
-    return within_chunks(steps).selectExpr("step_id", "kind", "cast(part as bigint) as position")
+    rows = within_chunks(steps, by)
+    ends = rows.groupBy(*by, "chunk_id").agg(F.max("seg").alias("n"), F.max_by("part", "step_id").alias("tail"))
+    own = f"partition by {', '.join(by)} " if by else ""
+    upto = "order by chunk_id rows between unbounded preceding and current row"
+    ends = ends.withColumn("g", F.expr(f"sum(if(n > 0, 1, 0)) over ({own}{upto})"))
+    ends = ends.withColumn("out", F.expr(f"sum(tail) over (partition by {', '.join([*by, 'g'])} {upto})"))
+    carry = ends.selectExpr(*by, "chunk_id", f"coalesce(lag(out) over ({own}order by chunk_id), 0L) as carry")
+    joined = rows.join(carry, [*by, "chunk_id"])
+    return joined.selectExpr(*by, "step_id", "kind", "cast(part + if(seg = 0, carry, 0L) as bigint) as position")
+
+
+def position_point(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, step_id, kind, position as a point read gives it, starting from 0 in each chunk (G-2)."""
+    return within_chunks(steps, by).selectExpr(*by, "step_id", "kind", "cast(part as bigint) as position")
 
 
 def resolve(position: Column, files: int | None = None) -> tuple[Column, Column]:

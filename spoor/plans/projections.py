@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Steps of a chunk of the step stream; values and calls have 256, I/O events 64.
-CHUNK = 4096
-#: Positions a file spans when files are packed into one index.
-STRIDE = 100_000
+from ..operators.numbering import dense
+from ..operators.positions import CHUNK, STRIDE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +34,48 @@ STEPS = f"""steps AS (SELECT event_id AS step_id, CAST((event_id - event_id % {C
   user_id AS thread_id FROM events)"""
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order and line number."""
+    picks = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_shipdate")]
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*picks)
+
+
+def fleet_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace_id and the columns of steps() of many traces: the events as one, and the lines of each order year as another."""
+    first = steps(spark, sf_dir).selectExpr("'events' as trace_id", "step_id", "chunk_id", "kind", "v")
+    lines = _lines(spark, sf_dir).selectExpr(
+        "concat('lines-', year(l_shipdate)) as trace_id",
+        "l_orderkey * 8 + l_linenumber as step_id",
+        f"(l_orderkey * 8 + l_linenumber) div {CHUNK} as chunk_id",
+        "case when l_linenumber = 1 then 'absolute' when l_linenumber < 6 then 'delta' else 'raise' end as kind",
+        f"case when l_linenumber = 1 then (l_partkey % 5) * {STRIDE} + 1 + l_orderkey % 97 when l_linenumber < 6 then l_suppkey % 4 else 0L end as v",
+    )
+    return first.unionByName(lines)
+
+
+FLEET = f"""lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2),
+fleet AS (SELECT 'events' AS trace_id, step_id, chunk_id, kind, v FROM steps UNION ALL
+  SELECT 'lines-' || year(l_shipdate), l_orderkey * 8 + l_linenumber, (l_orderkey * 8 + l_linenumber) // {CHUNK},
+  CASE WHEN l_linenumber = 1 THEN 'absolute' WHEN l_linenumber < 6 THEN 'delta' ELSE 'raise' END,
+  CASE WHEN l_linenumber = 1 THEN (l_partkey % 5) * {STRIDE} + 1 + l_orderkey % 97 WHEN l_linenumber < 6 THEN l_suppkey % 4 ELSE 0 END FROM lines),
+fleet_positions AS (SELECT trace_id, step_id, kind, CAST(sum(v) OVER (PARTITION BY trace_id, seg ORDER BY step_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS position
+  FROM (SELECT *, sum(CASE WHEN kind = 'absolute' THEN 1 ELSE 0 END)
+          OVER (PARTITION BY trace_id ORDER BY step_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM fleet) t)"""
+
+
+def fleet_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trace_id, call_key, entry_step, exit_step: a call for each order in each trace that has lines of it, and the events' calls."""
+    own = calls(spark, sf_dir).selectExpr("'events' as trace_id", "call_key", "entry_step", "exit_step")
+    orders = _lines(spark, sf_dir).groupBy(F.expr("concat('lines-', year(l_shipdate)) as trace_id"), F.col("l_orderkey").alias("call_key"))
+    lines = orders.agg(F.expr("min(l_orderkey * 8 + l_linenumber) as entry_step"), F.expr("max(l_orderkey * 8 + l_linenumber) as exit_step"))
+    return own.unionByName(lines)
+
+
+FLEET_CALLS = """fleet_calls AS (SELECT 'events' AS trace_id, call_key, entry_step, exit_step FROM calls UNION ALL
+  SELECT 'lines-' || year(l_shipdate), l_orderkey, min(l_orderkey * 8 + l_linenumber), max(l_orderkey * 8 + l_linenumber) FROM lines GROUP BY 1, 2)"""
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """call_key, function_id, entry_step, exit_step, depth: intervals of 900, 90 and 7 of each 1000, 100 and 10 steps.
 
@@ -81,8 +121,6 @@ VALUES = """vals AS (SELECT event_id AS step_id, 0 AS ordinal, event_type AS var
 
 def io_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """io_index, kind, step_id, data: events of type error and purchase. Indexes are dense, by `dense`."""
-    from ..operators.numbering import dense
-
     rows = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')").selectExpr(
         "event_id as step_id", "if(event_type = 'error', 'error', 'stdout') as kind", "props as data"
     )
