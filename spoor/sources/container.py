@@ -146,7 +146,7 @@ def build(files: dict[str, bytes], block_size: int = 4096, max_entries: int = 31
     return b"".join(blocks)
 
 
-def _decoded(files: DataFrame, name: str, schema: str, decode) -> DataFrame:
+def decoded(files: DataFrame, name: str, schema: str, decode) -> DataFrame:
     """Rows that decode(bytes) gives for one named file of each container, with the container's path."""
 
     def run(batches):
@@ -164,7 +164,7 @@ def _decoded(files: DataFrame, name: str, schema: str, decode) -> DataFrame:
 
 def streams(files: DataFrame, name: str) -> DataFrame:
     """path, content of one named file of each container that has it."""
-    return _decoded(files, name, "content binary", lambda data: iter([(data,)]))
+    return decoded(files, name, "content binary", lambda data: iter([(data,)]))
 
 
 def varints(data: bytes, at: int) -> tuple[int, int]:
@@ -220,12 +220,12 @@ def encode_steps(rows) -> bytes:
 
 def steps(files: DataFrame, name: str = "steps.raw") -> DataFrame:
     """path, step_id, kind, v, message of each container's plain step stream."""
-    return _decoded(files, name, "step_id long, kind string, v long, message binary", decode_steps)
+    return decoded(files, name, "step_id long, kind string, v long, message binary", decode_steps)
 
 
 def fixed_records(files: DataFrame, name: str, size: int) -> DataFrame:
     """path, index, record of a file of records of one size."""
-    return _decoded(files, name, "index long, record binary", lambda d: ((i // size, d[i : i + size]) for i in range(0, len(d) - size + 1, size)))
+    return decoded(files, name, "index long, record binary", lambda d: ((i // size, d[i : i + size]) for i in range(0, len(d) - size + 1, size)))
 
 
 def variable_records(files: DataFrame, base: str) -> DataFrame:
@@ -249,7 +249,7 @@ def thread_events(files: DataFrame, thread_id: int, name: str) -> DataFrame:
             yield thread_id, kind, tid, geid, tick, data[at + 26 : at + 26 + size], at
             at += 26 + size
 
-    return _decoded(files, name, "thread_id long, event_type int, ct_tid long, geid long, tick long, payload binary, stream_offset long", decode)
+    return decoded(files, name, "thread_id long, event_type int, ct_tid long, geid long, tick long, payload binary, stream_offset long", decode)
 
 
 def split_traces(spark: SparkSession, folder: str) -> DataFrame:

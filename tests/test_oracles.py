@@ -1,6 +1,6 @@
 import pytest
 
-from spoor.plans import codecs, fleet, queries, registry, streams
+from spoor.plans import codecs, fleet, framed, queries, registry, streams
 from tests.oracle import same
 
 
