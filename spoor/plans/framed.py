@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import cbor, container, frames
+from ..sources import cbor, container, frames, metadata, records
 from . import projections as T
 from .queries import MOVING
 from .registry import query
@@ -86,6 +86,86 @@ def chunked_records(spark, sf):
     return rows.select("path", "index", container.number(F.col("record"), 0, 8).cast("long").alias("thread_id"))
 
 
+#: Records of a chunk of calls, values and I/O events in these queries.
+CALLS, VALUES, IOS = 64, 128, 32
+
+
+def _records(spark, sf):
+    """path, content: containers of the calls and I/O events that begin in each 4,096 steps, the values of these steps, and metadata."""
+
+    def build(key, rows):
+        number = key[0].as_py()
+        of = {kind: [r for r in rows.to_pylist() if r["what"] == kind] for kind in ("call", "io", "value")}
+        calls = [
+            records.encode_call({"function_id": r["a"], "parent_call_key": r["b"], "entry_step": r["at"], "exit_step": r["c"], "depth": r["b"] % 3 if r["b"] > 0 else 0,
+                                 "args": [(r["a"] % 5, cbor.dumps({"kind": "Int", "i": r["at"]}))], "return_value": records.VOID, "exception": b"", "children": [r["n"], r["n"] + 1]})
+            for r in of["call"]
+        ]
+        ios = [records.encode_io(r["a"], r["at"], b"", r["text"].encode()) for r in of["io"]]
+        steps: dict[int, list] = {}
+        for r in of["value"]:
+            steps.setdefault(r["at"] % T.CHUNK, []).append((r["a"], cbor.dumps({"kind": "Int", "i": r["b"], "type_id": 7})))
+        values = [records.encode_values(steps.get(i, [])) for i in range(max(steps, default=-1) + 1)]
+        meta = metadata.build(f"018f3e2a-1c00-7abc-8def-{number:012d}", "demo", ["-x", str(number)], "/src", "spoor", ["/src/a.py", "/src/b.py"], 1 << 10)
+        files = {"meta.dat": meta}
+        for base, stream, per in (("calls", calls, CALLS), ("events", ios, IOS), ("values", values, VALUES)):
+            files[f"{base}.dat"], files[f"{base}.idx"] = records.stream_of(stream, per)
+        return pa.table({"path": [f"trace-{number:09d}.ct"], "content": pa.array([container.build(files)], pa.binary())})
+
+    none = "cast(null as string) as text"
+    calls = T.calls(spark, sf).selectExpr("'call' as what", "entry_step as at", "call_key as n", "function_id as a", "call_key - 1 as b", "exit_step as c", none)
+    ios = T.io_events(spark, sf).selectExpr("'io' as what", "step_id as at", "io_index as n", "if(kind = 'error', 11L, 0L) as a", "0L as b", "0L as c", "data as text")
+    values = T.values(spark, sf).where("ordinal = 1 and step_id % 3 > 0").selectExpr("'value' as what", "step_id as at", "step_id as n", "4L as a", "cast(value as bigint) as b", "0L as c", none)
+    rows = calls.unionByName(ios).unionByName(values).withColumn("chunk_id", F.expr(f"at div {T.CHUNK}"))
+    return rows.groupBy("chunk_id").applyInArrow(lambda key, t: build(key, t.sort_by("n")), "path string, content binary")
+
+
+_TRACE = f"printf('trace-%09d.ct', {{0}} // {T.CHUNK}) AS path"
+_NUMBERED = f"CAST(row_number() OVER (PARTITION BY {{0}} // {T.CHUNK} ORDER BY {{1}}) - 1 AS BIGINT)"
+
+
+@query(
+    f"""SELECT {_TRACE.format('entry_step')}, {_NUMBERED.format('entry_step', 'call_key')} AS call_key, function_id, call_key - 1 AS parent_call_key, entry_step, exit_step,
+    CAST(CASE WHEN call_key > 1 THEN (call_key - 1) % 3 ELSE 0 END AS INTEGER) AS depth, call_key || ',' || (call_key + 1) AS children, true AS returned_nothing FROM calls""",
+    T.CALLS,
+)
+def call_records(spark, sf):
+    """Calls of a compressed stream with an index (A)."""
+    rows = records.calls(_records(spark, sf))
+    return rows.select("path", "call_key", "function_id", "parent_call_key", "entry_step", "exit_step", "depth", F.array_join("children", ",").alias("children"), F.col("return_value").isNull().alias("returned_nothing"))
+
+
+@query(
+    f"""SELECT {_TRACE.format('entry_step')}, {_NUMBERED.format('entry_step', 'call_key')} AS call_key, 0 AS ordinal, function_id % 5 AS varname_id,
+    CAST(json_object('kind', 'Int', 'i', entry_step) AS VARCHAR) AS value FROM calls""",
+    T.CALLS,
+)
+def call_arguments(spark, sf):
+    """Arguments of calls, their values shown as JSON."""
+    rows = records.arguments(records.calls(_records(spark, sf)))
+    return rows.withColumn("value", cbor.to_json(F.col("value")))
+
+
+@query(f"SELECT {_TRACE.format('step_id')}, {_NUMBERED.format('step_id', 'io_index')} AS io_index, kind, step_id, data FROM ios", T.IO)
+def io_records(spark, sf):
+    """I/O events of a compressed stream with an index (A)."""
+    return records.io_events(_records(spark, sf)).select("path", "io_index", "kind", "step_id", F.col("data").cast("string").alias("data"))
+
+
+@query(f"SELECT {_TRACE.format('step_id')}, step_id % {T.CHUNK} AS step_id, 0 AS ordinal, 4 AS varname_id, CAST(value AS BIGINT) AS i, 7 AS type_id FROM vals WHERE ordinal = 1 AND step_id % 3 > 0", T.VALUES)
+def value_records(spark, sf):
+    """Values of steps from a compressed stream, some steps having none (A)."""
+    rows = records.step_values(_records(spark, sf)).withColumn("v", F.parse_json(cbor.to_json(F.col("value"))))
+    return rows.select("path", "step_id", "ordinal", F.col("varname_id").cast("int").alias("varname_id"), F.variant_get("v", "$.i", "bigint").alias("i"), F.variant_get("v", "$.type_id", "int").alias("type_id"))
+
+
+@query(f"SELECT {_TRACE.format('c * ' + str(T.CHUNK))}, '018f3e2a-1c00-7abc-8def-' || printf('%012d', c) AS recording_id, 'demo' AS program, '-x ' || c AS args, '/src/a.py,/src/b.py' AS paths, 1024 AS flags, 'value_stream' AS features FROM (SELECT DISTINCT event_id // {T.CHUNK} AS c FROM events)")
+def trace_metadata(spark, sf):
+    """Metadata of each container (A)."""
+    rows = metadata.read(_records(spark, sf))
+    return rows.select("path", "recording_id", "program", F.array_join("args", " ").alias("args"), F.array_join("paths", ",").alias("paths"), "flags", F.array_join("features", ",").alias("features"))
+
+
 _VALUE = """CASE event_type WHEN 'click' THEN json_object('kind', 'Int', 'i', event_id - 500, 'type_id', 1)
   WHEN 'view' THEN json_object('kind', 'Float', 'f', value, 'type_id', 2)
   WHEN 'purchase' THEN json_object('kind', 'Sequence', 'elements', json_array(json_object('kind', 'String', 'text', props, 'type_id', 3), json_object('kind', 'None', 'type_id', 4)), 'is_slice', event_id % 2 = 0, 'type_id', 5)

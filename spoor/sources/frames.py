@@ -120,8 +120,8 @@ def table_of(records: list[bytes], per_chunk: int) -> tuple[bytes, bytes]:
     return bytes(data), bytes(index)
 
 
-def chunked_records(files: DataFrame, base: str, size: int) -> DataFrame:
-    """path, index, record of a table in compressed chunks, cut by its index."""
+def table_chunks(files: DataFrame, base: str) -> DataFrame:
+    """path, first (number of the chunk's first record), data of each decompressed chunk of a table, found by its index."""
     index = streams(files, f"{base}.idx").select("path", number(F.col("content"), 0, 4).cast("long").alias("_per"), F.col("content").alias("_idx"))
     count = ((F.octet_length("_idx") - 4) / 8).cast("int")
     starts = index.where(F.octet_length("_idx") > 4).select("path", "_per", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("_idx", 5 + 8 * i, F.lit(8)))).alias("_chunk", "_o"))
@@ -130,7 +130,11 @@ def chunked_records(files: DataFrame, base: str, size: int) -> DataFrame:
     both = ends.join(streams(files, f"{base}.dat").withColumnRenamed("content", "_dat"), "path")
     both = both.withColumn("_end", F.coalesce("_end", F.octet_length("_dat").cast("long")))
     packed = F.substring(F.col("_dat"), (F.col("_start") + 1).cast("int"), (F.col("_end") - F.col("_start")).cast("int"))
-    rows = _unpacked(both.select("path", (F.col("_per") * F.col("_chunk")).alias("_first"), packed.alias("packed")), ["path", "_first"])
+    return _unpacked(both.select("path", (F.col("_per") * F.col("_chunk")).alias("first"), packed.alias("packed")), ["path", "first"])
+
+
+def chunked_records(files: DataFrame, base: str, size: int) -> DataFrame:
+    """path, index, record of a table of records of one size in compressed chunks."""
     at = F.sequence(F.lit(0), (F.octet_length("data") / size).cast("int") - 1)
-    cut = rows.where(F.octet_length("data") >= size).select("path", "_first", "data", F.explode(at).alias("_i"))
-    return cut.select("path", (F.col("_first") + F.col("_i")).alias("index"), F.substring(F.col("data"), F.col("_i") * size + 1, F.lit(size)).alias("record"))
+    cut = table_chunks(files, base).where(F.octet_length("data") >= size).select("path", "first", "data", F.explode(at).alias("_i"))
+    return cut.select("path", (F.col("first") + F.col("_i")).alias("index"), F.substring(F.col("data"), F.col("_i") * size + 1, F.lit(size)).alias("record"))

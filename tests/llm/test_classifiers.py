@@ -48,6 +48,31 @@ def test_bradley_terry_finds_the_order():
     assert np.allclose(quality.fit(x[:0], y[:0]).score(x), 0.5)
 
 
+def test_newton_steps_reach_what_plain_descent_reaches():
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(120, quality.FEATURES))
+    y = (x[:, 1] - x[:, 5] + rnd.normal(size=120) > 0).astype(int)
+    ranker = quality.fit(x, y, 400, seed=3)
+    z = np.clip((x - np.median(x, axis=0)) / x.std(axis=0), -5, 5)
+    wide = np.concatenate([z, np.abs(z)], axis=1)
+    rnd = np.random.default_rng(3)
+    a, b = rnd.choice(np.flatnonzero(y == 1), 400), rnd.choice(np.flatnonzero(y == 0), 400)
+    w = [0.0] * wide.shape[1]
+    pairs = [[float(p - q) for p, q in zip(wide[i], wide[j], strict=True)] for i, j in zip(a, b, strict=True)]
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-sum(p * q for p, q in zip(d, w, strict=True)))) for d in pairs) / 400 + 5e-4 * sum(q * q for q in w)
+
+    d = np.array(pairs)
+    for _ in range(6000):
+        w = w - 0.5 * (-d.T @ (1 / (1 + np.exp(d @ w))) / 400 + 1e-3 * np.array(w))
+    assert abs(loss(list(w)) - loss(list(ranker.weights))) < 1e-4
+    assert np.corrcoef(wide @ w, ranker.raw(x))[0, 1] > 0.999
+    assert (ranker.score(x) < quality.THRESHOLD).mean() == ranker.quantile
+    for q in (0.25, 0.9):
+        assert abs((quality.fit(x, y, 400, quantile=q).score(x) < quality.THRESHOLD).mean() - q) < 0.01
+
+
 def test_model_matches_plain_counts(spark):
     docs = [("common words here", 0)] * 1 + [(f"common words here n{i}", 0) for i in range(60)] + [(f"Common idiot here idiot n{i}", 1) for i in range(40)] * 2
     rows = frame(spark, [(i, t) for i, (t, _) in enumerate(docs)]).drop("label")

@@ -32,7 +32,7 @@ def best_sum(pieces, word):
 
 @pytest.mark.parametrize("most", [sp.KEEP_WORDS, 0])
 def test_same_ids_as_the_library(spark, sf, real, most):
-    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + TEXTS
+    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TEXTS
     pieces = sp.Pieces.read()
     assert pieces.cut == sp.FINE[0]
     got = sp.encode(frame(spark, rows), pieces, most=most).collect()

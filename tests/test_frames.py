@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spoor.sources import cbor, container, frames
+from spoor.sources import cbor, container, frames, metadata, records
 
 
 def test_frames_of_any_size_and_format(spark):
@@ -38,3 +38,32 @@ def test_cbor_of_the_standard_s_examples(spark):
     got = {r.i: r.j for r in df.select("i", cbor.to_json(F.col("data")).alias("j")).collect()}
     big, flag = '{"kind":"BigInt","b":"Af8=","b_hex":"01ff","negative":true}', '{"kind":"Bool","b":false,"text":"false"}'
     assert got == {1: f'{{"kind":"Struct","field_values":[{big},{flag}],"fields":[["x",{big}],["y",{flag}]]}}', 2: '{"kind":"Empty"}', 3: '{"kind":"Undecodable","hex":"a101"}', 4: None}
+
+
+def test_records_keep_every_field(spark):
+    call = {"function_id": 300, "parent_call_key": -1, "entry_step": 0, "exit_step": 2**40, "depth": 2, "args": [(1, b""), (200, b"\xf6")], "return_value": b"\x01", "exception": b"oops", "children": [5, 6, 700]}
+    calls = [call, call | {"return_value": records.VOID, "args": [], "children": [], "parent_call_key": 9}]
+    dat, idx = records.stream_of([records.encode_call(c) for c in calls], 1)
+    values = [[], [(3, b"\x00"), (4, b"")], []]
+    vdat, vidx = records.stream_of([records.encode_values(v) for v in values], 2)
+    edat, eidx = records.stream_of([records.encode_io(12, 7, b"meta", b"hello"), records.encode_io(4, 8, b"", b"")], 64)
+    files = {"calls.dat": dat, "calls.idx": idx, "values.dat": vdat, "values.idx": vidx, "events.dat": edat, "events.idx": eidx}
+    opened = spark.createDataFrame([("a", container.build(files)), ("b", container.build({"other": b"x"}))], "path string, content binary")
+    got = records.calls(opened).orderBy("call_key").collect()
+    assert [(r.call_key, r.function_id, r.parent_call_key, r.entry_step, r.exit_step, r.depth, r.return_value, bytes(r.exception), r.children) for r in got] == [(0, 300, -1, 0, 2**40, 2, b"\x01", b"oops", [5, 6, 700]), (1, 300, 9, 0, 2**40, 2, None, b"oops", [])]
+    assert [(r.call_key, r.ordinal, r.varname_id, bytes(r.value)) for r in records.arguments(records.calls(opened)).orderBy("ordinal").collect()] == [(0, 0, 1, b""), (0, 1, 200, b"\xf6")]
+    assert [(r.step_id, r.ordinal, r.varname_id, bytes(r.value)) for r in records.step_values(opened).orderBy("ordinal").collect()] == [(1, 0, 3, b"\x00"), (1, 1, 4, b"")]
+    assert [(r.io_index, r.kind, r.step_id, bytes(r.metadata), bytes(r.data)) for r in records.io_events(opened).orderBy("io_index").collect()] == [(0, "stderr", 7, b"meta", b"hello"), (1, "file", 8, b"", b"")]
+    with pytest.raises(ValueError):
+        records.decode_io(records.encode_io(0, 1, b"", b"") + b"x")
+
+
+def test_metadata(spark):
+    data = metadata.build("018f3e2a-1c00-7abc-8def-0123456789ab", "prög", ["a", ""], "/w", "r", ["/x"] * 200, 1 << 4 | 1 << 12)
+    bad = bytearray(data)
+    bad[7] |= 0x80
+    rows = [("a", container.build({"meta.dat": data}))]
+    got = metadata.read(spark.createDataFrame(rows, "path string, content binary")).first()
+    assert (got.program, got.args, len(got.paths), got.features) == ("prög", ["a", ""], 200, ["column_aware_steps", "interning_tables"])
+    with pytest.raises(Exception):
+        metadata.read(spark.createDataFrame([("a", container.build({"meta.dat": bytes(bad)}))], "path string, content binary")).collect()
