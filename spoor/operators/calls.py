@@ -13,21 +13,21 @@ from .ranges import range_join
 BIN = 256
 
 
-def enclosing(steps: DataFrame, calls: DataFrame, bin_width: int = BIN, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, step_id, call_key: the greatest call_key with entry <= step <= exit, null outside every call (E-1).
+def enclosing(steps: DataFrame, calls: DataFrame, bin_width: int = BIN, by: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """by, step_id, keep, call_key: the greatest call_key with entry <= step <= exit, null outside every call (E-1).
 
-    by: columns that tell traces apart. Rows stay in the partitions of the bins through the
+    by: columns that tell traces apart; keep: columns of the steps to carry along. Rows stay in the partitions of the bins through the
     aggregate, so each side is shuffled once.
     """
-    left = steps.select(*by, "step_id").withColumn("_bin", F.floor(F.col("step_id") / bin_width))
+    left = steps.select(*by, "step_id", *keep).withColumn("_bin", F.floor(F.col("step_id") / bin_width))
     bins = F.sequence(F.floor(F.col("entry_step") / bin_width), F.floor(F.col("exit_step") / bin_width))
     right = calls.select(*by, "call_key", "entry_step", "exit_step", F.explode(bins).alias("_bin"))
     on = F.expr("entry_step <= step_id and exit_step >= step_id")
     for key in [*by, "_bin"]:
         on = on & (left[key] == right[key])
     met = left.join(right, on, "left")
-    keys = [left[k] for k in by]
-    return met.groupBy(*keys, left["_bin"], "step_id").agg(F.max("call_key").alias("call_key")).select(*by, "step_id", "call_key")
+    keys = [left[k] for k in (*by, "_bin", "step_id", *keep)]
+    return met.groupBy(*keys).agg(F.max("call_key").alias("call_key")).select(*by, "step_id", *keep, "call_key")
 
 
 def signals(calls: DataFrame) -> DataFrame:

@@ -31,18 +31,19 @@ def scan(df: DataFrame, key: str, low: int, high: int, cap: int | None = None) -
 
 
 def as_of(points: DataFrame, bases: DataFrame, point: str, base: str, width: int = 65536) -> DataFrame:
-    """points with the columns of the row of bases that has the greatest base <= point; points before all have none.
+    """points with the columns of the row of bases that has the greatest base <= point; points before all have no row.
 
-    Bases with their successors are spans, which makes this an interval join. The successor is
-    found inside bins, and only each bin's first base passes through a single task.
+    Points and bases are put in one order inside bins of their values. A point with no base before
+    it in its bin takes the last one of the bins before: one row a bin passes through a single task.
     """
-    rows = bases.withColumn("_b", F.floor(F.col(base) / width))
-    heads = rows.groupBy("_b").agg(F.min(base).alias("_head"))
-    after = heads.selectExpr("_b", "lead(_head) over (order by _b) as _after")
-    inner = rows.withColumn("_next", F.expr(f"lead(`{base}`) over (partition by _b order by `{base}`)")).join(after, "_b")
-    last = points.agg(F.max(point).alias("_max"))
-    ends = inner.crossJoin(F.broadcast(last)).withColumn("_end", F.coalesce(F.col("_next") - 1, F.col("_after") - 1, F.greatest(F.col("_max"), F.col(base))))
-    return range_join(points, ends.drop("_b", "_next", "_after", "_max"), point, base, "_end", width).drop("_end")
+    own = points.select(F.col(point).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"), F.lit(None).alias("_base"))
+    given = bases.select(F.col(base).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"), F.struct(*bases.columns).alias("_base"))
+    rows = own.unionByName(given).withColumn("_bin", F.floor(F.col("_at") / width))
+    heads = rows.groupBy("_bin").agg(F.max_by("_base", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+    before = heads.selectExpr("_bin", "last_value(_last) ignore nulls over (order by _bin rows between unbounded preceding and 1 preceding) as _before")
+    near = rows.withColumn("_near", F.expr("last_value(_base) ignore nulls over (partition by _bin order by _at, _kind rows between unbounded preceding and current row)"))
+    found = near.where("_kind = 1").join(before, "_bin").select("_row", F.coalesce("_near", "_before").alias("_base")).where("_base is not null")
+    return found.select("_row.*", "_base.*")
 
 
 def frame_at(offset: Column, size: int) -> tuple[Column, Column]:

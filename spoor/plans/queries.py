@@ -31,8 +31,7 @@ def located(spark, sf):
 )
 def line_profile(spark, sf):
     """Per source line: its hits, first and last step, hits inside calls and the last call (R1, E-2, R2, F-4)."""
-    steps = located(spark, sf)
-    met = steps.join(C.enclosing(steps, T.calls(spark, sf)), "step_id")
+    met = C.enclosing(located(spark, sf), T.calls(spark, sf), keep=("path_id", "line"))
     return met.groupBy("path_id", "line").agg(
         F.count("*").alias("hits"), F.min("step_id").alias("first_step"), F.max("step_id").alias("last_step"),
         F.count("call_key").alias("hits_in_calls"), F.max("call_key").alias("last_call_key"),
@@ -49,8 +48,8 @@ def line_profile(spark, sf):
 def line_top_function(spark, sf):
     """Per source line the function that most often encloses it; names from part."""
     calls = T.calls(spark, sf)
-    steps = located(spark, sf)
-    met = steps.join(C.enclosing(steps, calls).where("call_key is not null"), "step_id").join(calls.select("call_key", "function_id"), "call_key")
+    inside = C.enclosing(located(spark, sf), calls, keep=("path_id", "line")).where("call_key is not null")
+    met = inside.join(calls.select("call_key", "function_id"), "call_key")
     counts = met.groupBy("path_id", "line", "function_id").agg(F.count("*").alias("n"))
     top = counts.groupBy("path_id", "line").agg(F.max_by("function_id", F.struct("n", -F.col("function_id"))).alias("function_id"))
     names = T.table(spark, sf, "part").select(F.col("p_partkey").alias("function_id"), F.col("p_name").alias("top_function"))
