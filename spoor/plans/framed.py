@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..sources import cbor, container, frames, metadata, records
+from ..functions import scalars as S
+from ..sources import cbor, container, frames, metadata, native, records
 from . import projections as T
 from .queries import MOVING
 from .registry import query
@@ -186,3 +189,61 @@ def cbor_values(spark, sf):
     )
     written = T.table(spark, sf, "events").select("event_id", cbor.from_json(shapes).alias("data"))
     return written.select("event_id", cbor.to_json(F.col("data")).alias("json"))
+
+
+def _bundles(spark, sf):
+    """path, content: a native bundle of each 4,096 events, one stream for every thread and purchases and errors in the OS log; names of functions beside them."""
+
+    def build(key, rows):
+        threads: dict[int, bytes] = {}
+        log = []
+        for r in rows.to_pylist():
+            tid, text = r["user_id"] % 8, r["props"].encode()
+            threads[tid] = threads.get(tid, b"") + struct.pack("<HIIQQ", r["event_id"] % 100, len(text), tid, r["event_id"], r["event_id"] * 3) + text
+            if r["event_type"] in ("purchase", "error"):
+                log.append((r["event_id"], r["event_id"] * 3, tid, r["event_id"] % 17, r["event_id"] % 5 - 1, -r["event_id"], r["event_type"].encode(), text))
+        dat, idx = native.log_of([log[i : i + 100] for i in range(0, len(log), 100)])
+        texts = [r.encode() for r in rows.column("event_type").to_pylist()]
+        offsets = b"".join(struct.pack("<Q", sum(map(len, texts[:i]))) for i in range(len(texts[:50])))
+        files = {f"t{tid}": data for tid, data in threads.items()} | {"event_log.dat": dat, "event_log.idx": idx, "meta.json": b'{"recordingMode":"full"}', "f.dat": b"".join(texts[:50]), "f.off": offsets}
+        return pa.table({"path": [f"native-{key[0].as_py():09d}.ct"], "content": pa.array([container.build(files)], pa.binary())})
+
+    rows = T.table(spark, sf, "events").selectExpr(f"event_id div {T.CHUNK} as chunk_id", "event_id", "user_id", "event_type", "props")
+    return rows.groupBy("chunk_id").applyInArrow(lambda key, t: build(key, t.sort_by("event_id")), "path string, content binary")
+
+
+_BUNDLE = f"printf('native-%09d.ct', event_id // {T.CHUNK}) AS path"
+
+
+@query(f"SELECT {_BUNDLE}, user_id % 8 AS thread_id, CAST(event_id % 100 AS INTEGER) AS event_type, event_id AS geid, event_id * 3 AS tick, props AS payload FROM events")
+def bundle_threads(spark, sf):
+    """Events of every thread's stream of native bundles (A)."""
+    rows = native.thread_events(_bundles(spark, sf))
+    return rows.select("path", "thread_id", "event_type", "geid", "tick", F.col("payload").cast("string").alias("payload"))
+
+
+_OS_NAMES = ", ".join(f"'elk{x}'" for x in S.OS_EVENTS)
+
+
+@query(
+    f"""SELECT path, CAST(k // 100 AS BIGINT) AS chunk, CAST(k % 100 AS BIGINT) AS entry, event_id AS geid, user_id % 8 AS tid, coalesce([{_OS_NAMES}][CAST(event_id % 17 AS INTEGER) + 1], 'elk_unknown_' || event_id % 17) AS kind,
+    CAST(event_id % 5 - 1 AS INTEGER) AS fd, -event_id AS return_value, event_type AS metadata, props AS content
+    FROM (SELECT *, {_BUNDLE}, row_number() OVER (PARTITION BY event_id // {T.CHUNK} ORDER BY event_id) - 1 AS k FROM events WHERE event_type IN ('purchase', 'error'))"""
+)
+def bundle_os_events(spark, sf):
+    """The log of OS events of native bundles (A)."""
+    rows = native.os_events(_bundles(spark, sf)).withColumn("kind", S.os_event_name(F.col("kind")))
+    return rows.select("path", "chunk", "entry", "geid", "tid", "kind", "fd", "return_value", F.col("metadata").cast("string").alias("metadata"), F.col("content").cast("string").alias("content"))
+
+
+@query(f"SELECT DISTINCT printf('native-%09d.ct', event_id // {T.CHUNK}) AS path, 'native' AS kind FROM events UNION ALL SELECT DISTINCT printf('chunk-%09d.ct', event_id // {T.CHUNK}), 'streams' FROM events UNION ALL SELECT 'text', 'none'")
+def container_kinds(spark, sf):
+    """What each file is: a native bundle, a container of streams, or none (A)."""
+    text = spark.createDataFrame([("text", b"plain text, longer than any header")], "path string, content binary")
+    return native.kinds(_bundles(spark, sf).unionByName(_streams(spark, sf)).unionByName(text))
+
+
+@query(f"SELECT printf('native-%09d.ct', event_id // {T.CHUNK}) AS path, event_id % {T.CHUNK} AS index, event_type AS record FROM events WHERE event_id % {T.CHUNK} < 50")
+def container_names(spark, sf):
+    """Records of different lengths, cut by their offsets (A)."""
+    return container.variable_records(_bundles(spark, sf), "f").select("path", "index", F.col("record").cast("string").alias("record"))

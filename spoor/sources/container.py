@@ -95,10 +95,25 @@ def data_blocks(data: bytes, root: int, block_size: int) -> Iterator[int]:
         root = pointers(root)[-1]
 
 
+def name_code(name: str) -> int:
+    """A file's name in base 40: its first 12 characters, of which those outside the alphabet count as the end mark."""
+    return sum(max(NAME_CHARS.find(c), 0) * 40**i for i, c in enumerate(name[:12]))
+
+
+def names(data: bytes) -> list[str]:
+    """The names of a container's files."""
+    count, found = struct.unpack_from("<I", data, 12)[0], []
+    for i in range(count):
+        code = struct.unpack_from("<Q", data, HEADER + i * ENTRY + 16)[0]
+        if code:
+            found.append("".join(NAME_CHARS[code // 40**k % 40] for k in range(12)).rstrip("\0"))
+    return found
+
+
 def read_file(data: bytes, name: str) -> bytes | None:
     """The bytes of a named file of a container; None if it has no such file."""
     block_size, count = struct.unpack_from("<II", data, 8)
-    code = sum(NAME_CHARS.index(c) * 40**i for i, c in enumerate(name))
+    code = name_code(name)
     for i in range(count):
         size, root, own = struct.unpack_from("<QQQ", data, HEADER + i * ENTRY)
         if own == code:
@@ -138,7 +153,7 @@ def build(files: dict[str, bytes], block_size: int = 4096, max_entries: int = 31
             if before:
                 struct.pack_into("<Q", blocks[before], block_size - 8, root)
             first, before = first or root, root
-        entries += struct.pack("<QQQ", len(data), first, sum(NAME_CHARS.index(c) * 40**i for i, c in enumerate(name)))
+        entries += struct.pack("<QQQ", len(data), first, name_code(name))
     start = head + entries
     if len(start) > block_size or len(files) > max_entries:
         raise ValueError("too many files for the first block")
@@ -237,19 +252,24 @@ def variable_records(files: DataFrame, base: str) -> DataFrame:
     return both.select("path", "index", F.substring(F.col("dat"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("record")).where("octet_length(record) > 0 or start < end")
 
 
+def decode_thread(data: bytes) -> Iterator[tuple]:
+    """(event_type, ct_tid, geid, tick, payload, stream_offset) of 26-byte headers and the payloads behind them."""
+    at = 0
+    while at + 26 <= len(data):
+        kind, size, tid, geid, tick = struct.unpack_from("<HIIQQ", data, at)
+        if at + 26 + size > len(data):
+            raise ValueError(f"payload of {size} bytes beyond the stream's end")
+        yield kind, tid, geid, tick, data[at + 26 : at + 26 + size], at
+        at += 26 + size
+
+
+THREAD = "event_type int, ct_tid long, geid long, tick long, payload binary, stream_offset long"
+
+
 def thread_events(files: DataFrame, thread_id: int, name: str) -> DataFrame:
-    """path, thread_id, event_type, ct_tid, geid, tick, payload, stream_offset: 26-byte headers and their payloads."""
-
-    def decode(data: bytes) -> Iterator[tuple]:
-        at = 0
-        while at + 26 <= len(data):
-            kind, size, tid, geid, tick = struct.unpack_from("<HIIQQ", data, at)
-            if at + 26 + size > len(data):
-                raise ValueError(f"payload of {size} bytes beyond the stream's end")
-            yield thread_id, kind, tid, geid, tick, data[at + 26 : at + 26 + size], at
-            at += 26 + size
-
-    return decoded(files, name, "thread_id long, event_type int, ct_tid long, geid long, tick long, payload binary, stream_offset long", decode)
+    """path, thread_id, event_type, ct_tid, geid, tick, payload, stream_offset of one thread's stream."""
+    rows = decoded(files, name, THREAD, decode_thread)
+    return rows.withColumn("thread_id", F.lit(thread_id).cast("long")).select("path", "thread_id", *rows.columns[1:])
 
 
 def split_traces(spark: SparkSession, folder: str) -> DataFrame:
