@@ -113,8 +113,11 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = shared.cut(signatures(lines), "line-signatures")
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in band]) for k, band in enumerate(BANDS)])
     index = distinct.select("h", F.explode(keys).alias("key"))
+    # Sums by a key are written before they meet its rows again: Spark splits a hot key only where a join reads two plain shuffles.
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
+    buckets = shared.cut(buckets, "line-buckets")
     members = shared.cut(index.join(buckets.hint("shuffle_hash"), "key"), "line-members")
+    shared.drop(buckets)
     wanted = distinct.select("h", "place").join(members.select("h").distinct(), "h", "left_semi")
     texts = shared.cut(lines.select("h", "place", "line").join(wanted.hint("shuffle_hash"), ["h", "place"], "left_semi").select("h", "line").distinct(), "line-texts")
     first = members.where("h <> hub").selectExpr("hub as a", "h as b").distinct()
@@ -125,7 +128,8 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     for share in SHARES:
         now = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
         several = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        apart = shared.cut(now.join(several.where("n > 2 and x <> y").select("key").hint("shuffle_hash"), "key"), "line-apart")
+        several = shared.cut(several.where("n > 2 and x <> y").select("key"), "line-several")
+        apart = shared.cut(now.join(several.hint("shuffle_hash"), "key"), "line-apart")
         if sketches is None:  # buckets only ever close, so these are all that is needed
             sketches = shared.cut(sketched(texts.join(apart.select("h").distinct(), "h", "left_semi")), "line-sketches")
         rows = shared.cut(apart.join(sketches, "h"), "line-open")
@@ -134,7 +138,7 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh = shared.cut(fresh.distinct(), "line-near")
         good = shared.cut(verified(fresh, texts), "line-pairs")
         merged = shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good))
-        shared.drop(apart, rows, fresh, good, comps)
+        shared.drop(several, apart, rows, fresh, good, comps)
         comps = merged
     shared.drop(members, texts, sketches)
     return distinct, comps
@@ -156,11 +160,11 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = shared.cut(lines.select("doc_id", "of", "line_no", "h").join(many, "h").select("comp", "doc_id", "of", "line_no"), "line-placed")
     shared.drop(many)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "line_no")
-    first = placed.groupBy("comp").agg(F.min(rank).alias("first"))
+    first = shared.cut(placed.groupBy("comp").agg(F.min(rank).alias("first")), "line-first")
     lost = placed.join(first, "comp").where(rank != F.col("first"))
     lost = lost.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     out = shared.cut(lost, "line-lost")
-    shared.drop(placed)
+    shared.drop(placed, first)
     return out
 
 
