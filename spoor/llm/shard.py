@@ -93,8 +93,9 @@ def assign(df: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str = "
     text_crc32 that of its UTF-8 bytes (null: of none, 0). Slots are gapless from 0 in each
     shard: rows are numbered within parts that a hash of id, checksum and size deals out, so
     no shard is ever sorted in one task, and each part starts after those before it. Rows
-    equal in id, checksum and size share a part and take its slots in any order. An empty
-    table gives an empty result.
+    equal in id, checksum and size share a part and take its slots in any order. Null ids count as
+    empty ones; null texts have no bytes, and texts may have any length. An empty table gives an
+    empty result.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -63,7 +63,7 @@ def _shared_bytes(a, b):
 
 
 def _linked(a, b):
-    """Count filter, then the exact distance. At most 3 differing bits touch at most 3 bytes, so 5 are shared."""
+    """Count filter (the tally taken from the two fingerprints, not summed over the index), then the exact distance. At most 3 differing bits touch at most 3 bytes, so 5 are shared."""
     return (_shared_bytes(a, b) >= 8 - MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
 
 
@@ -130,8 +130,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id that
     links reach, the row's own included. Null and empty texts have fingerprint zero and link
     like any other. Null doc_ids are kept and never chosen: their component_id is the smallest
-    doc_id of the component, or null if it has none. Repeated rows each get a row. An empty
-    table gives an empty result. Equal fingerprints meet once, so copies never pair up.
+    doc_id of the component, or null if it has none. Repeated rows each get a row. Texts
+    may have any length. An empty table gives an empty result. Equal fingerprints meet once, so copies never pair up.
     """
     fps = shared.cut(fingerprints(df, id_col, text_col), "fingerprints")
     classes = shared.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
