@@ -13,12 +13,12 @@ from . import shared
 CANDIDATES = 16384
 QUERIES = 1024
 #: Bits of a code for each component; vectors are padded with zeros before the rotation, which tightens the bounds.
-SPREAD = 4
+SPREAD = 8
 #: An estimate is off by less than this many times sqrt((1 - f^2) / f^2 / (D - 1)) with high probability,
-#: f being the inner product of a vector with its code of D bits; 1.9 is the usual choice, more reranks more.
+#: f being the inner product of a vector with its code of D bits; 1.9 is the usual choice, more reranks more and finds more.
 BOUND = 3.0
 #: Bits of a query's components, so that inner products are counts of bits.
-PLANES = 8
+PLANES = 6
 SEED = 6
 
 
@@ -167,7 +167,8 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
     units = shared.cut(classes.selectExpr("c", "ids", f"transform(array({scaled}), s -> {length1})[0] as u"), "units")
     exact = near.join(units.selectExpr("c as q", "u as qu"), "q").join(units, "c")
     exact = exact.selectExpr("q", "ids", "aggregate(zip_with(u, qu, (x, y) -> x * y), 0D, (a, p) -> a + p) as score")
-    # Of each class of equal queries the best k + 1 ids: one may be a query's own.
+    # The best k + 1 ids of each class of equal queries, as one may be a query's own: they lie in its best k + 1 classes.
+    exact = exact.withColumn("n", F.expr("row_number() over (partition by q order by score desc, ids[0])")).where(F.col("n") <= k + 1)
     each = exact.select("q", "score", F.explode("ids").alias("vec_id"))
     each = each.withColumn("n", F.expr("row_number() over (partition by q order by score desc, vec_id)")).where(F.col("n") <= k + 1)
     best = asked.join(each.withColumnRenamed("q", "c"), "c").where("query_id <> vec_id")
