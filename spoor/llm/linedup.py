@@ -26,10 +26,9 @@ BANDS = [
 ]
 _rnd = random.Random(20240229)
 #: Multiplying by an odd number modulo 2^31 permutes the hashes, and so does XOR with a constant.
-#: Minima 0, 3 and 6 share a multiplier, and so on; their constants differ in the two highest bits,
-#: so each of them prefers another quarter of the hashes, and they choose among different shingles.
-_FACTORS = [_rnd.getrandbits(31) | 1 << 29 | 1 for _ in range(3)]
-MIXES = [(_FACTORS[i % 3], (i // 3) << 29 | _rnd.getrandbits(29)) for i in range(POINTS)]
+#: Each minimum has its own order of all hashes; XOR alone would let all nine choose among the
+#: few hashes with the same high bits.
+MIXES = [(_rnd.getrandbits(31) | 1 << 29 | 1, _rnd.getrandbits(31)) for _ in range(POINTS)]
 #: Shingles hashed in one row of the exploded lines; rows are dearer than expressions.
 UNROLL = 16
 #: Longs of a sketch, 64 bits each: the parity of the shingles whose hash falls on each bit.
@@ -41,7 +40,9 @@ _BLANK = r" \t\r\n\f\u000B"
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, of (hash of the text), line_no, line, h (64-bit hash of the line), place (hash of the first three); lines of white space are left out."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
+    # The text's hash and its parts are columns before they are exploded; else every line would hash its whole text again.
+    whole = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.split(text_col, "\n", -1).alias("parts"))
+    rows = whole.select("doc_id", "of", F.posexplode("parts").alias("line_no", "line"))
     rows = rows.where(f"trim(both '{_BLANK}' from line) <> ''")
     return rows.withColumns({"h": F.xxhash64("line"), "place": F.xxhash64("doc_id", "of", "line_no")})
 
@@ -58,10 +59,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = rows.selectExpr("h", "place", "b", "last", f"explode(sequence(1, last, {2 * UNROLL})) as at")
     hashed = [f"cast(hash(substring(b, least(at + {2 * j}, last), {width})) & 2147483647 as bigint) as s{j}" for j in range(UNROLL)]
     rows = rows.selectExpr("h", "place", "at", *hashed)
-    rows = rows.selectExpr("h", "place", "at", *[f"s{j} * {a}L & 2147483647L as t{k}_{j}" for k, a in enumerate(_FACTORS) for j in range(UNROLL)])
     minima = []
-    for i, (_, x) in enumerate(MIXES):
-        own = ", ".join(f"t{i % 3}_{j} ^ {x}L" for j in range(UNROLL))
+    for i, (a, x) in enumerate(MIXES):
+        own = ", ".join(f"(s{j} * {a}L & 2147483647L) ^ {x}L" for j in range(UNROLL))
         minima.append(F.expr(f"cast(min(least({own})) as int)").alias(f"m{i}"))
     return rows.groupBy("h").agg(F.expr("sum(if(at = 1, 1L, 0L))").alias("n"), F.min("place").alias("place"), *minima)
 
@@ -87,9 +87,9 @@ def _may_be_close() -> str:
     Sets whose sizes differ more can't have it, and each differing bit of the sketches stands for a
     shingle that only one line has: at similarity s there are (1 - s) / (1 + s) of both sizes at most.
     """
-    sizes = f"least(a.size, b.size) >= {SIMILARITY} * greatest(a.size, b.size)"
+    sizes = f"least(a.size, b.size) >= {SIMILARITY}D * greatest(a.size, b.size)"
     differ = " + ".join(f"bit_count(a.k{j} ^ b.k{j})" for j in range(SKETCH))
-    return f"{sizes} and {1 + SIMILARITY} * ({differ}) <= {1 - SIMILARITY} * (a.size + b.size) + 1e-6"
+    return f"{sizes} and {1 + SIMILARITY}D * ({differ}) <= {1 - SIMILARITY}D * (a.size + b.size) + 1e-6D"
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     # Sets and encoded lines are bound to lambda variables: plain columns would be inlined and computed at every mention.
     sets = f"array(named_struct('a', {_shingles('la')}, 'b', {_shingles('lb')}))"
     sizes = f"transform({sets}, p -> named_struct('n', size(p.a) + size(p.b), 'both', size(array_intersect(p.a, p.b))))"
-    return both.where(f"exists({sizes}, q -> q.both >= {SIMILARITY} * (q.n - q.both))").select("a", "b")
+    return both.where(f"exists({sizes}, q -> q.both >= {SIMILARITY}D * (q.n - q.both) - 1e-9D)").select("a", "b")
 
 
 def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,18 +120,19 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared.drop(buckets)
     wanted = distinct.select("h", "place").join(members.select("h").distinct(), "h", "left_semi")
     texts = shared.cut(lines.select("h", "place", "line").join(wanted.hint("shuffle_hash"), ["h", "place"], "left_semi").select("h", "line").distinct(), "line-texts")
-    first = members.where("h <> hub").selectExpr("hub as a", "h as b").distinct()
+    sketches = shared.cut(sketched(texts), "line-sketches")
+    near = F.expr(_may_be_close())
+    first = members.where("h <> hub").select("hub", "h").distinct().alias("p")
+    first = first.join(sketches.alias("a"), F.expr("p.hub = a.h")).join(sketches.alias("b"), F.expr("p.h = b.h") & near)
+    first = shared.cut(first.selectExpr("p.hub as a", "p.h as b"), "line-near")
     good = shared.cut(verified(first, texts), "line-pairs")
     comps = shared.components(good)
-    shared.drop(good)
-    sketches, near = None, F.expr(_may_be_close())
+    shared.drop(first, good)
     for share in SHARES:
         now = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
         several = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
         several = shared.cut(several.where("n > 2 and x <> y").select("key"), "line-several")
         apart = shared.cut(now.join(several.hint("shuffle_hash"), "key"), "line-apart")
-        if sketches is None:  # buckets only ever close, so these are all that is needed
-            sketches = shared.cut(sketched(texts.join(apart.select("h").distinct(), "h", "left_semi")), "line-sketches")
         rows = shared.cut(apart.join(sketches, "h"), "line-open")
         far = F.expr("a.key = b.key and a.comp <> b.comp" + (" and a.h < b.h" if share == 1 else "")) & near
         fresh = rows.where(f"pmod(h, {share}) = 0").alias("a").join(rows.alias("b"), far).selectExpr("a.h as a", "b.h as b")
