@@ -193,9 +193,10 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     blocks = _blocks(benchmark, "item_id", "text")
     some = list(islice(blocks, 2))
     if len(some) == 2:
-        found = scan(df.select(F.xxhash64(text_col).alias("_h"), text_col), benchmark, "_h", text_col)
-        gone = shared.cut(found.where(CONTAMINATED).select("_h").distinct(), "contaminated")
-        return df.join(gone, F.xxhash64(text_col) == F.col("_h"), "left_anti")
+        (own,) = shared.free(df, "_h")
+        found = scan(df.select(F.xxhash64(text_col).alias(own), text_col), benchmark, own, text_col)
+        gone = shared.cut(found.where(CONTAMINATED).select(own).distinct(), "contaminated")
+        return df.join(gone, F.xxhash64(text_col) == F.col(own), "left_anti")
     find = _finder(df.sparkSession, some[0] if some else [], WINDOW)
 
     def fine(texts):

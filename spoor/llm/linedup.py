@@ -175,13 +175,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A document that loses all its lines but those of white space goes; texts that lose no line stay as they are,
     null and blank ones among them. Repeated rows each keep their row. An empty table stays empty.
     """
-    lost = dropped_lines(df, id_col, text_col).selectExpr("doc_id as _id", "of as _of", "dropped as _dropped")
-    named = df.withColumn("_hash", F.xxhash64(text_col))
-    both = named.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of")), "left")
-    at = "array_except(sequence(0, size(l) - 1), _dropped)"
+    own, other, of, gone = shared.free(df, "_hash", "_id", "_of", "_dropped")
+    lost = dropped_lines(df, id_col, text_col).selectExpr(f"doc_id as {other}", f"of as {of}", f"dropped as {gone}")
+    named = df.withColumn(own, F.xxhash64(text_col))
+    both = named.join(lost, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(of)), "left")
+    at = f"array_except(sequence(0, size(l) - 1), {gone})"
     kept = f"transform(array(split(`{text_col}`, '\\n', -1)), l -> array_join(transform({at}, i -> l[i]), '\\n'))[0]"
-    new = both.withColumn(text_col, F.expr(f"if(_dropped is null, `{text_col}`, {kept})"))
-    return new.where(f"_dropped is null or trim(both '{_BLANK}' from `{text_col}`) <> ''").select(*df.columns)
+    new = both.withColumn(text_col, F.expr(f"if({gone} is null, `{text_col}`, {kept})"))
+    return new.where(f"{gone} is null or trim(both '{_BLANK}' from `{text_col}`) <> ''").select(*df.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,16 @@ def drop(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind so many underscores more that no column of df has it."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 

@@ -152,17 +152,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fingerprint. Where no row of a component has an id, one with the component's least fingerprint stays.
     """
     found = shared.cut(near_duplicates(df, id_col, text_col), "groups")
-    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_keep"))
+    keep, own, other, mark, comp = shared.free(df, "_keep", "_fp", "_id", "_print", "_comp")
+    ids = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(keep))
     ids = ids.agg(F.expr("bool_or(doc_id = component_id)").alias("kept"), F.expr("min(comp) <> max(comp)").alias("mixed")).where("kept")
     ids = shared.cut(ids, "kept-ids")
+    alike, apart = ids.where("not mixed").select(keep), ids.where("mixed").select(keep)
     named = df.where(F.col(id_col).isNotNull())
-    single = named.join(ids.where("not mixed"), F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    several = named.join(ids.where("mixed"), F.col(id_col) == F.col("_keep"), "left_semi").withColumn("_fp", _fingerprints(F.col(text_col)))
-    own = found.where("doc_id = component_id").selectExpr("doc_id as _id", "fp as _print", "comp as _comp").distinct()
-    several = several.join(own, (F.col(id_col) == F.col("_id")) & (F.col("_fp") == F.col("_print"))).dropDuplicates([id_col, "_comp"]).select(*df.columns)
-    alone = found.where("component_id is null and fp = comp").select("fp").distinct().withColumnRenamed("fp", "_keep")
-    nameless = df.where(F.col(id_col).isNull()).withColumn("_fp", _fingerprints(F.col(text_col)))
-    nameless = nameless.join(alone, F.col("_fp") == F.col("_keep"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    single = named.join(alike, F.col(id_col) == F.col(keep), "left_semi").dropDuplicates([id_col])
+    several = named.join(apart, F.col(id_col) == F.col(keep), "left_semi").withColumn(own, _fingerprints(F.col(text_col)))
+    placed = found.where("doc_id = component_id").selectExpr(f"doc_id as {other}", f"fp as {mark}", f"comp as {comp}").distinct()
+    several = several.join(placed, (F.col(id_col) == F.col(other)) & (F.col(own) == F.col(mark))).dropDuplicates([id_col, comp]).select(*df.columns)
+    alone = found.where("component_id is null and fp = comp").select(F.col("fp").alias(keep)).distinct()
+    nameless = df.where(F.col(id_col).isNull()).withColumn(own, _fingerprints(F.col(text_col)))
+    nameless = nameless.join(alone, F.col(own) == F.col(keep), "left_semi").dropDuplicates([own]).select(*df.columns)
     return single.unionByName(several).unionByName(nameless)
 
 
