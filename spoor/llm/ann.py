@@ -13,7 +13,7 @@ from . import shared
 CANDIDATES = 16384
 QUERIES = 1024
 #: Bits of a code for each component; vectors are padded with zeros before the rotation, which tightens the bounds.
-SPREAD = 8
+SPREAD = 16
 #: An estimate is off by less than this many times sqrt((1 - f^2) / f^2 / (D - 1)) with high probability,
 #: f being the inner product of a vector with its code of D bits; 1.9 is the usual choice, more reranks more and finds more.
 BOUND = 3.0
@@ -108,7 +108,7 @@ def _coded(rows: DataFrame, queries: bool, size: int, name: str) -> DataFrame:
 
 
 def _survivors(q_ids, q_data, c_ids, c_data, k: int):
-    """(query, vector, lower, upper) for each query: the vectors of the block that may be among its k best.
+    """For each query its id, its k + 1 greatest lower bounds, and the vectors of the block that may be among its k best, with upper bounds.
 
     The k-th greatest lower bound in the block decides. A query's own vector stays in: its other
     copies may be wanted, so k counts one more.
@@ -122,7 +122,7 @@ def _survivors(q_ids, q_data, c_ids, c_data, k: int):
         lower, upper = found - bound, found + bound
         least = np.partition(lower, -k - 1)[-k - 1] if len(lower) > k + 1 else -np.inf
         at = np.flatnonzero(upper >= least)
-        yield np.full(len(at), query), c_ids[at], lower[at], upper[at]
+        yield query, np.sort(lower)[-k - 1 :], c_ids[at], upper[at]
 
 
 def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -154,13 +154,16 @@ def search(df: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vector_co
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                for part in _survivors(*(batch.column(i)[at].as_py() for i in range(4)), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, own, strict=True)], names=["q", "c", "lower", "upper"])
-
-    own = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    near = shared.cut(both.mapInArrow(run, "q long, c long, lower double, upper double"), "survivors")
-    least = near.withColumn("n", F.expr("row_number() over (partition by q order by lower desc, c)")).where(F.col("n") == k + 1).select("q", F.col("lower").alias("least"))
-    near = near.join(least, "q", "left").where("least is null or upper >= least").select("q", "c")
+                rows = zip(*_survivors(*(batch.column(i)[at].as_py() for i in range(4)), k), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(map(list, rows), own, strict=True)], names=["q", "lowers", "cs", "uppers"])
+
+    own = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    near = shared.cut(both.mapInArrow(run, "q long, lowers array<double>, cs array<bigint>, uppers array<double>"), "survivors")
+    # One row for each query and block; the bounds of all blocks thin the lists before they are rows of their own.
+    lowers = near.select("q", F.explode("lowers").alias("lower"))
+    least = lowers.withColumn("n", F.expr("row_number() over (partition by q order by lower desc)")).where(F.col("n") == k + 1).select("q", F.col("lower").alias("least"))
+    fits = F.expr("filter(arrays_zip(cs, uppers), x -> least is null or x.uppers >= least)")
+    near = near.join(least, "q", "left").select("q", F.explode(fits).alias("x")).select("q", F.col("x.cs").alias("c"))
     # Norms are bound to lambda variables: plain expressions would be computed again for every component.
     scaled = "transform(array(array_max(transform(v, y -> abs(y)))), m -> transform(v, x -> x / m))[0]"
     length1 = "transform(array(sqrt(aggregate(s, 0D, (a, y) -> a + y * y))), n -> transform(s, x -> x / n))[0]"
