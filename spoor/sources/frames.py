@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .container import decode_steps, decoded, number, streams
+from .container import decode_steps, decoded, number, rows_of, streams
 
 # The seek table of the seekable Zstandard format.
 SKIPPABLE = 0x184D2A5E
@@ -102,11 +102,10 @@ def chunked_steps(files: DataFrame, name: str = "steps.dat") -> DataFrame:
     spread = _unpacked(chunks(files, name).select("path", "first", "packed").repartition("path", "first"), ["path", "first"])
 
     def run(batches):
-        for batch in batches:
-            for path, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, kinds, vs, _ = zip(*decode_steps(data), strict=True)
-                columns = [pa.array([path] * len(ids)), pa.array([first + i for i in ids], pa.int64()), pa.array(kinds), pa.array(vs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "step_id", "kind", "v"])
+        for path, first, data in rows_of(batches):
+            ids, kinds, vs, _ = zip(*decode_steps(data), strict=True)
+            columns = [pa.array([path] * len(ids)), pa.array([first + i for i in ids], pa.int64()), pa.array(kinds), pa.array(vs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "step_id", "kind", "v"])
 
     return spread.mapInArrow(run, "path string, step_id long, kind string, v long")
 

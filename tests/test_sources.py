@@ -1,9 +1,11 @@
 import random
 import struct
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from spoor.sources import container, manifests, values
+from spoor.sources import container, manifests, native, values
 
 
 def write(tmp_path, name, data):
@@ -46,6 +48,24 @@ def test_variable_records(spark, tmp_path):
     assert [bytes(r.record) for r in rows if r.record] == [b"main", b"helper"]
 
 
+def test_contents_become_python_values_one_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(40)]), pa.array([bytes(1 << 20)] * 40)], names=["path", "content"])
+    tracemalloc.start()
+    assert sum(len(content) for _, content in container.rows_of([batch])) == 40 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20, peak
+
+
+def test_long_thread_streams_come_in_parts(spark):
+    one = b"".join(struct.pack("<HIIQQ", 1, 2, 7, i, i) + b"ab" for i in range(25_000))
+    files = spark.createDataFrame([("a", container.build({"t7": one})), ("b", container.build({"x": b"1"}))], "path string, content binary")
+    rows = native.thread_events(files)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) == 25_000
+    assert {r.geid for r in rows.collect()} == set(range(25_000))
+
+
 def test_manifest_and_values(spark):
     text = '{"trace_id":"t","segments":[{"index":0,"shards":[{"index":0,"block_start":0,"block_end":9,"replicas":[{"replica_no":2,"uri":"b"},{"replica_no":1,"uri":"a"}]}]}]}'
     rows = manifests.parse(spark.createDataFrame([(text,)], "value string"))
