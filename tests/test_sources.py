@@ -66,6 +66,19 @@ def test_long_thread_streams_come_in_parts(spark):
     assert {r.geid for r in rows.collect()} == set(range(25_000))
 
 
+def test_variable_records_read_each_container_once(spark):
+    texts = {f"c{k}": [b"x" * ((i * k) % 5) for i in range(30)] for k in range(1, 4)}
+    built = []
+    for path, parts in texts.items():
+        starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+        built.append((path, container.build({"n.dat": b"".join(parts), "n.off": struct.pack("<30Q", *starts) + b"odd"})))
+    built += [("no.off", container.build({"n.dat": b"abc"})), ("no.dat", container.build({"n.off": bytes(8)}))]
+    rows = container.variable_records(spark.createDataFrame(built, "path string, content binary"), "n")
+    assert {(r.path, r["index"], bytes(r.record)) for r in rows.collect()} == {(p, i, x) for p, parts in texts.items() for i, x in enumerate(parts) if x}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_manifest_and_values(spark):
     text = '{"trace_id":"t","segments":[{"index":0,"shards":[{"index":0,"block_start":0,"block_end":9,"replicas":[{"replica_no":2,"uri":"b"},{"replica_no":1,"uri":"a"}]}]}]}'
     rows = manifests.parse(spark.createDataFrame([(text,)], "value string"))
