@@ -63,6 +63,23 @@ def test_scalars(spark):
         one.select(S.state(F.lit("odd"), ("ok",))).collect()
 
 
+def test_positions_sort_each_chunk_once(spark):
+    rnd = random.Random(5)
+    rows, at, want = [], {"a": 0, "b": 0}, {}
+    for i in range(600):
+        for t in at:
+            kind = rnd.choice(["absolute", "delta", "delta_column", "raise"] if i % 50 > 9 else ["delta", "raise"])
+            v = rnd.randrange(2**62) if kind == "absolute" else rnd.randrange(-9, 10)
+            at[t] = v if kind == "absolute" else at[t] + v * (kind != "raise")
+            rows.append((t, i, i // 16, kind, v))
+            want[t, i] = at[t]
+    rnd.shuffle(rows)
+    steps = spark.createDataFrame(rows, "trace_id string, step_id long, chunk_id long, kind string, v long")
+    assert {(r.trace_id, r.step_id): r.position for r in positions.positions(steps, ("trace_id",)).collect()} == want
+    plan = positions.within_chunks(steps, ("trace_id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1, plan
+
+
 def test_position_carry_over_chunks(spark):
     rows = [(0, 0, "absolute", 5), (1, 0, "delta", 4), (2, 1, "raise", 0), (3, 1, "delta", 5), (4, 2, "delta", 1), (5, 3, "catch", 0), (6, 3, "absolute", 2), (7, 3, "delta_column", 3)]
     steps = spark.createDataFrame(rows, "step_id long, chunk_id long, kind string, v long")
