@@ -127,6 +127,38 @@ def test_cuts_are_the_same_from_a_sample(spark):
     assert abs(few.logs[b"word"] - many.logs[b"word"]) < abs(same.logs[b"word"] - many.logs[b"word"])
 
 
+def labelled_texts(spark, n, every):
+    words = "the old mill stood by a river and nobody had lived there for years".split()
+    rows = [(i, " ".join(words[(i * k) % 13] + ("!" if i % every == 0 and k % 2 else "") for k in range(3 + i % 40))) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % every > 0)) for i in range(n)], "doc_id long, quality int")
+    used = [i for i in range(n) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality.features(rows[i][1]) for i in used])
+    return frame(spark, rows).drop("label"), labels, x, np.array([int(i % every > 0) for i in used])
+
+
+def test_quality_learns_from_all_pairs_of_a_block(spark):
+    documents, labels, x, y = labelled_texts(spark, 80, 4)
+    ranker = quality.learn(documents, labels)
+    wide = ranker._wide(x)
+    d = (wide[y == 1][:, None, :] - wide[y == 0][None, :, :]).reshape(-1, wide.shape[1])
+    assert np.allclose(quality._newton(wide.shape[1], lambda w: quality._slopes(d, w)), ranker.weights, atol=1e-7)
+    met = labelled.met_by_cut(y[np.argsort(ranker.raw(x), kind="stable")], np.ones(len(y)))
+    assert ((ranker.score(x) >= quality.THRESHOLD) == y).sum() == met.max()
+
+
+def test_quality_leaves_no_labelled_row_out(spark):
+    documents, labels, x, y = labelled_texts(spark, 24_000, 8)
+    assert (y == 1).sum() > labelled.SAMPLE
+    ranker = quality.learn(documents, labels)
+    assert np.allclose(ranker.center, x.mean(axis=0)) and np.allclose(ranker.spread, np.maximum(x.std(axis=0), 1e-6))
+    assert abs(ranker.quantile - (ranker.score(x) < quality.THRESHOLD).mean()) < 1e-3
+    rows = spark.createDataFrame([(i, int(c), [float(i)] * quality.FEATURES) for i, c in enumerate(y)], "doc_id long, label int, x array<double>")
+    blocks = quality._blocks(rows, {0: int((y == 0).sum()), 1: int((y == 1).sum())}).collect()
+    good, bad = Counter(v[0] for b in blocks for v in b.good), Counter(v[0] for b in blocks for v in b.bad)
+    assert set(good) == set(np.flatnonzero(y == 1)) and set(good.values()) == {1} and set(bad) == set(np.flatnonzero(y == 0))
+    assert all(b.good and b.bad for b in blocks) and max(len(b.good) * len(b.bad) for b in blocks) < 16_000
+
+
 def test_edge_rows(spark):
     long = "word " * 100000
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, "idiot"), (4, "!!!")]
