@@ -12,7 +12,7 @@ import heapq
 import os
 import re
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,11 @@ class Pieces:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4, 5)}
         self.bytes_at = [i for i, k in enumerate(self.kinds) if k == 6]
         self.unknown = self.kinds.index(2)
+        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
+        # What each id stands for; unknown and control pieces for nothing.
+        self.plain = [b"" if k in (2, 3) else p.encode("utf-8") for p, k in zip(self.pieces, self.kinds, strict=True)]
+        for b, i in enumerate(self.bytes_at):
+            self.plain[i] = bytes([b])
         self.longest = max(map(len, self.ids), default=1)
         fine = all(re.fullmatch(FINE[0], p) and _same_class(p) for p in self.ids)
         self.cut, self.java_cut = FINE if fine else COARSE
@@ -119,18 +124,20 @@ class Pieces:
 
     def _merged(self, word: str) -> list[int]:
         """Merge the adjacent pair whose joint piece scores best, the leftmost of equals, until none is a piece."""
-        ids, scores, parts = self.ids, self.scores, list(word)
+        parts = list(word)
         if len(parts) <= 40:
-            while len(parts) > 1:
-                best, at = -np.inf, -1
-                for i in range(len(parts) - 1):
-                    k = ids.get(parts[i] + parts[i + 1])
-                    if k is not None and scores[k] > best:
-                        best, at = scores[k], i
-                if at < 0:
-                    break
+            get, none = self.score_of.get, -np.inf
+            joint = [get(a + b, none) for a, b in pairwise(parts)]  # only pairs beside a merge change
+            while joint and (best := max(joint)) > none:
+                at = joint.index(best)
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                del joint[at]
+                if at:
+                    joint[at - 1] = get(parts[at - 1] + parts[at], none)
+                if at < len(joint):
+                    joint[at] = get(parts[at] + parts[at + 1], none)
             return self._ids(parts)
+        ids, scores = self.ids, self.scores
         after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
 
@@ -187,10 +194,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of some ids; unknown and control pieces give nothing, bytes that are no UTF-8 a replacement mark."""
-        first = self.bytes_at[0]
-        plain = b"".join(
-            bytes([i - first]) if self.kinds[i] == 6 else b"" if self.kinds[i] in (2, 3) else self.pieces[i].encode("utf-8") for i in ids
-        )
+        plain = b"".join(map(self.plain.__getitem__, ids))
         text = plain.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 

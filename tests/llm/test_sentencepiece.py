@@ -69,3 +69,25 @@ def test_long_words_and_empty_table(spark, real):
     assert sp.encode(frame(spark, []), pieces).collect() == []
     assert pieces.decode([]) == "" and not sp.encode(frame(spark, ["a▁b"]), pieces).collect()[0].round_trip
     assert sp.Pieces(["<unk>", "a.b", *(f"<0x{i:02X}>" for i in range(256))], [0.0] * 258, [2, 1, *[6] * 256], False, True).cut == sp.COARSE[0]
+
+
+def test_a_merge_looks_up_only_the_pairs_beside_it():
+    pieces, calls = sp.Pieces.read(), []
+
+    class Counted(dict):
+        def get(self, *args):
+            calls.append(args)
+            return dict.get(self, *args)
+
+    pieces.score_of = Counted(pieces.score_of)
+    rnd = random.Random(6)
+    for _ in range(300):
+        word = "".join(rnd.choice("antiersoch\u00e9\u4e2d9") for _ in range(rnd.randrange(1, 41)))
+        parts = list(word)
+        while found := [(-pieces.scores[pieces.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in pieces.ids]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        calls.clear()
+        assert pieces._merged(word) == pieces._ids(parts)
+        assert len(calls) <= 3 * len(word)
+        assert pieces.decode(pieces._ids(parts)) == word
