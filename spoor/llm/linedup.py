@@ -33,7 +33,7 @@ MIXES = [(_rnd.getrandbits(31) | 1 << 29 | 1, _rnd.getrandbits(31)) for _ in ran
 UNROLL = 16
 #: Longs of a sketch, 64 bits each: the parity of the shingles whose hash falls on each bit.
 SKETCH = 16
-#: Shares of a bucket's lines that all its other lines are compared with, one after another.
+#: Shares of a bucket's lines that all its other lines are compared with, one after another; each divides the one before.
 SHARES = (16, 1)
 _BLANK = r" \t\r\n\f\u000B"
 
@@ -92,6 +92,24 @@ def _may_be_close() -> str:
     return f"{sizes} and {1 + SIMILARITY}D * ({differ}) <= {1 - SIMILARITY}D * (a.size + b.size) + 1e-6D"
 
 
+def met(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of lines that share a bucket, belong to different components and may be close; one of them asks. Each pair once.
+
+    rows: key, h, comp, size, band (that of the key, from 1), asks, k0..k15, m0..m8. Of the buckets
+    that a pair shares, that of the first band in which their minima agree gives it.
+    """
+    # A join reads all columns of its condition for each pair of a bucket: minima go two in a long, and none may be null.
+    high, low = [f"shiftleft(cast(m{i} as bigint), 32)" for i in range(0, POINTS, 2)], [*[f"m{i}" for i in range(1, POINTS, 2)], "0L"]
+    longs = {c: c for c in ("key", "h", "comp", "size", *[f"k{j}" for j in range(SKETCH)])}
+    longs |= {f"p{n}": f"{x} | {y}" for n, (x, y) in enumerate(zip(high, low, strict=True))}
+    slim = rows.selectExpr("coalesce(band, 0) as band", "coalesce(asks, false) as asks", *[f"coalesce({x}, 0L) as {c}" for c, x in longs.items()])
+    same = [f"(a.p{i // 2} ^ b.p{i // 2}) & 4294967295L = 0L" if i % 2 else f"shiftrightunsigned(a.p{i // 2} ^ b.p{i // 2}, 32) = 0L" for i in range(POINTS)]
+    agree = (" and ".join(same[i] for i in band) for band in BANDS)
+    here = f"a.band = case {' '.join(f'when {x} then {k + 1}' for k, x in enumerate(agree))} else 0 end"
+    far = F.expr(f"a.key = b.key and a.comp <> b.comp and (a.h < b.h or not b.asks) and {here}") & F.expr(_may_be_close())
+    return slim.where("asks").alias("a").join(slim.alias("b"), far).selectExpr("a.h as a", "b.h as b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of line hashes those whose shingle sets have a Jaccard similarity of 0.8 or more; texts: h, line."""
     both = pairs.join(texts.selectExpr("h as a", "line as la"), "a").join(texts.selectExpr("h as b", "line as lb"), "b")
@@ -107,20 +125,24 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     A bucket (equal minima in one band) first compares its lines with its least hash only. Then
     lines of buckets that still hold several components meet across components: first one in 16
     lines with all others, then all with all. Sizes and sketches sort out, inside the join, pairs
-    that can't have the similarity; the rest is verified exactly. Copies thus never give all
+    that can't have the similarity; the rest is verified exactly. A pair comes from one of the buckets
+    that it shares, and not again after an earlier share. Copies thus never give all
     their pairs, and no link that would join two components is lost.
     """
     distinct = shared.cut(signatures(lines), "line-signatures")
+    minima = [f"m{i}" for i in range(POINTS)]
     keys = F.array(*[F.xxhash64(F.lit(k), *[F.col(f"m{i}") for i in band]) for k, band in enumerate(BANDS)])
     index = distinct.select("h", F.explode(keys).alias("key"))
     # Sums by a key are written before they meet its rows again: Spark splits a hot key only where a join reads two plain shuffles.
-    buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1").select("key", "hub")
+    buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1")
     buckets = shared.cut(buckets, "line-buckets")
     members = shared.cut(index.join(buckets.hint("shuffle_hash"), "key"), "line-members")
     shared.drop(buckets)
-    wanted = distinct.select("h", "place").join(members.select("h").distinct(), "h", "left_semi")
-    texts = shared.cut(lines.select("h", "place", "line").join(wanted.hint("shuffle_hash"), ["h", "place"], "left_semi").select("h", "line").distinct(), "line-texts")
-    sketches = shared.cut(sketched(texts), "line-sketches")
+    wanted = shared.cut(distinct.select("h", "place", *minima).join(members.select("h").distinct(), "h", "left_semi"), "line-wanted")
+    texts = lines.select("h", "place", "line").join(wanted.select("h", "place").hint("shuffle_hash"), ["h", "place"], "left_semi")
+    texts = shared.cut(texts.select("h", "line").distinct(), "line-texts")
+    sketches = shared.cut(sketched(texts).join(wanted.select("h", *minima), "h"), "line-sketches")
+    shared.drop(wanted)
     near = F.expr(_may_be_close())
     first = members.where("h <> hub").select("hub", "h").distinct().alias("p")
     first = first.join(sketches.alias("a"), F.expr("p.hub = a.h")).join(sketches.alias("b"), F.expr("p.h = b.h") & near)
@@ -128,20 +150,24 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = shared.cut(verified(first, texts), "line-pairs")
     comps = shared.components(good)
     shared.drop(first, good)
+    # Two lines of a bucket have met already; a bucket of one component needs no other look.
+    apart, before = members.where("n > 2"), None
     for share in SHARES:
-        now = members.join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp")
-        several = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        several = shared.cut(several.where("n > 2 and x <> y").select("key"), "line-several")
+        now = shared.cut(apart.select("key", "h").join(comps.withColumnRenamed("node", "h"), "h", "left").selectExpr("key", "h", "coalesce(comp, h) as comp"), "line-now")
+        several = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+        several = shared.cut(several.where("x <> y").select("key"), "line-several")
+        shared.drop(apart)
         apart = shared.cut(now.join(several.hint("shuffle_hash"), "key"), "line-apart")
-        rows = shared.cut(apart.join(sketches, "h"), "line-open")
-        far = F.expr("a.key = b.key and a.comp <> b.comp" + (" and a.h < b.h" if share == 1 else "")) & near
-        fresh = rows.where(f"pmod(h, {share}) = 0").alias("a").join(rows.alias("b"), far).selectExpr("a.h as a", "b.h as b")
-        fresh = shared.cut(fresh.distinct(), "line-near")
+        # What differs between shares is a column, so that all shares run the same compiled join.
+        band = F.array_position(keys, F.col("key")).cast("int").alias("band")
+        rows = apart.join(sketches, "h").select("*", band, F.expr(f"pmod(h, {share}) = 0").alias("asks"))
+        rows = shared.cut(rows.where(f"pmod(h, {before}) <> 0") if before else rows, "line-open")
+        fresh = shared.cut(met(rows), "line-near")
         good = shared.cut(verified(fresh, texts), "line-pairs")
         merged = shared.components(comps.selectExpr("node as a", "comp as b").unionByName(good))
-        shared.drop(several, apart, rows, fresh, good, comps)
-        comps = merged
-    shared.drop(members, texts, sketches)
+        shared.drop(now, several, rows, fresh, good, comps)
+        comps, before = merged, share
+    shared.drop(apart, members, texts, sketches)
     return distinct, comps
 
 

@@ -141,6 +141,42 @@ def test_many_copies_give_no_pairs(spark):
     assert sum(sizes) >= 396 and max(sizes) >= 396
 
 
+def test_joins_of_hot_buckets_give_each_pair_once(spark, monkeypatch):
+    rnd = random.Random(6)
+    base, texts = [f"word{i}" for i in range(30)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 7)):
+            words[rnd.randrange(30)] = f"own{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    join, shares = linedup.met, []
+
+    def spied(rows):
+        shares.append(([r.asDict() for r in rows.collect()], [tuple(r) for r in join(rows).collect()]))
+        return join(rows)
+
+    monkeypatch.setattr(linedup, "met", spied)
+    linedup.line_components(linedup.lines_of(frame(spark, list(enumerate(texts)))))
+    assert len(shares) == len(linedup.SHARES)
+    by_hash = {r.h: shingles(r.line) for r in linedup.lines_of(frame(spark, list(enumerate(texts)))).collect()}
+    asked, given, repeated = set(), 0, 0
+    for rows, pairs in shares:
+        got = {frozenset(p) for p in pairs}
+        assert len(got) == len(pairs) and not got & asked
+        asked, given = asked | got, given + len(pairs)
+        buckets = defaultdict(list)
+        for r in rows:
+            buckets[r["key"]].append(r)
+        for one in buckets.values():
+            for a in one:
+                for b in one:
+                    repeated += a["h"] < b["h"] and frozenset((a["h"], b["h"])) in got
+                    x, y = by_hash[a["h"]], by_hash[b["h"]]
+                    if a["asks"] and a["comp"] != b["comp"] and len(x & y) >= 0.8 * len(x | y):
+                        assert frozenset((a["h"], b["h"])) in got
+    assert repeated > given > 20
+
+
 def test_documents_table(spark, sf):
     got = linedup.op2_line_dedup(spark, sf).collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
