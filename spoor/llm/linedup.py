@@ -35,6 +35,8 @@ UNROLL = 16
 SKETCH = 16
 #: Shares of a bucket's lines that all its other lines are compared with, one after another; each divides the one before.
 SHARES = (16, 1)
+#: Rows of 64 bits in which sifted() marks hashes: a bound for what is broadcast, whatever the number of hashes.
+SLOTS = 1 << 18
 _BLANK = r" \t\r\n\f\u000B"
 
 
@@ -43,7 +45,7 @@ def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # The text's hash and its parts are columns before they are exploded; else every line would hash its whole text again.
     whole = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("of"), F.split(text_col, "\n", -1).alias("parts"))
     rows = whole.select("doc_id", "of", F.posexplode("parts").alias("line_no", "line"))
-    rows = rows.where(f"trim(both '{_BLANK}' from line) <> ''")
+    rows = rows.where(f"trim(leading '{_BLANK}' from line) <> ''")
     return rows.withColumns({"h": F.xxhash64("line"), "place": F.xxhash64("doc_id", "of", "line_no")})
 
 
@@ -110,6 +112,13 @@ def met(rows: DataFrame) -> DataFrame:
     return slim.where("asks").alias("a").join(slim.alias("b"), far).selectExpr("a.h as a", "b.h as b")
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
+    """rows without most of those whose col (a hash) is not in wanted's; none that is there gets lost. Spares a shuffle its rows, not the join."""
+    bit = f"shiftleft(1L, cast(shiftrightunsigned({col}, 32) & 63 as int))"
+    slots = wanted.selectExpr(f"{col} & {SLOTS - 1}L as _slot", f"{bit} as _bit").groupBy("_slot").agg(F.expr("bit_or(_bit)").alias("_bits"))
+    return rows.join(F.broadcast(slots), F.expr(f"{col} & {SLOTS - 1}L = _slot and {bit} & _bits <> 0L")).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of line hashes those whose shingle sets have a Jaccard similarity of 0.8 or more; texts: h, line."""
     both = pairs.join(texts.selectExpr("h as a", "line as la"), "a").join(texts.selectExpr("h as b", "line as lb"), "b")
@@ -136,10 +145,11 @@ def line_components(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Sums by a key are written before they meet its rows again: Spark splits a hot key only where a join reads two plain shuffles.
     buckets = index.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("hub")).where("n > 1")
     buckets = shared.cut(buckets, "line-buckets")
-    members = shared.cut(index.join(buckets.hint("shuffle_hash"), "key"), "line-members")
+    members = shared.cut(sifted(index, buckets, "key").join(buckets.hint("shuffle_hash"), "key"), "line-members")
     shared.drop(buckets)
-    wanted = shared.cut(distinct.select("h", "place", *minima).join(members.select("h").distinct(), "h", "left_semi"), "line-wanted")
-    texts = lines.select("h", "place", "line").join(wanted.select("h", "place").hint("shuffle_hash"), ["h", "place"], "left_semi")
+    wanted = sifted(distinct.select("h", "place", *minima), members, "h")
+    wanted = shared.cut(wanted.join(members.select("h").distinct(), "h", "left_semi"), "line-wanted")
+    texts = sifted(lines.select("h", "place", "line"), wanted, "h").join(wanted.select("h", "place").hint("shuffle_hash"), ["h", "place"], "left_semi")
     texts = shared.cut(texts.select("h", "line").distinct(), "line-texts")
     sketches = shared.cut(sketched(texts).join(wanted.select("h", *minima), "h"), "line-sketches")
     shared.drop(wanted)
@@ -184,7 +194,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     many = distinct.where("n > 1").select("h").join(comps.withColumnRenamed("node", "h"), "h", "full_outer")
     many = shared.cut(many.selectExpr("h", "coalesce(comp, h) as comp"), "line-many")
     shared.drop(distinct, comps)
-    placed = shared.cut(lines.select("doc_id", "of", "line_no", "h").join(many, "h").select("comp", "doc_id", "of", "line_no"), "line-placed")
+    placed = shared.cut(sifted(lines.select("doc_id", "of", "line_no", "h"), many, "h").join(many, "h").select("comp", "doc_id", "of", "line_no"), "line-placed")
     shared.drop(many)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of", "line_no")
     first = shared.cut(placed.groupBy("comp").agg(F.min(rank).alias("first")), "line-first")
@@ -218,7 +228,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = documents.select(
         "doc_id",
         F.xxhash64("text").alias("_of"),
-        F.expr(f"cast(coalesce(size(filter(split(text, '\\n', -1), l -> trim(both '{_BLANK}' from l) <> '')), 0) as bigint)").alias("n_lines"),
+        F.expr(f"cast(coalesce(size(filter(split(text, '\\n', -1), l -> trim(leading '{_BLANK}' from l) <> '')), 0) as bigint)").alias("n_lines"),
     )
     both = counted.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("of")), "left")
     return both.select(

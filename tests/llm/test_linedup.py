@@ -177,6 +177,16 @@ def test_joins_of_hot_buckets_give_each_pair_once(spark, monkeypatch):
     assert repeated > given > 20
 
 
+def test_sifting_loses_no_row(spark):
+    rows = spark.range(-3000, 3000).selectExpr("xxhash64(id) as h", "id").unionByName(spark.sql("select h, 0L as id from values (0L), (-1L), (9223372036854775807L), (-9223372036854775808L) as t(h)"))
+    wanted = rows.where("id % 50 = 0").select("h")
+    got = linedup.sifted(rows, wanted, "h")
+    assert got.columns == rows.columns
+    want, found = {r.h for r in wanted.collect()}, [r.h for r in got.collect()]
+    assert want <= set(found) and len(found) == len(set(found)) < 1000
+    assert linedup.sifted(rows, wanted.limit(0), "h").count() == 0
+
+
 def test_documents_table(spark, sf):
     got = linedup.op2_line_dedup(spark, sf).collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
