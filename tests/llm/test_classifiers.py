@@ -159,6 +159,46 @@ def test_quality_leaves_no_labelled_row_out(spark):
     assert all(b.good and b.bad for b in blocks) and max(len(b.good) * len(b.bad) for b in blocks) < 16_000
 
 
+def test_toxicity_leaves_no_labelled_row_out(spark):
+    texts = [f"w{i % 977} v{i % 1009} plain" + " fool" * (i % 20 == 0 and i % 140 > 0 or i % 900 == 1) + " word" * (i % 5) for i in range(440_000)]
+    rows = spark.range(len(texts)).selectExpr(
+        "id as doc_id",
+        "concat('w', id % 977, ' v', id % 1009, ' plain', if(id % 20 = 0 and id % 140 > 0 or id % 900 = 1, ' fool', ''), repeat(' word', cast(id % 5 as int))) as text",
+    )
+    labels = spark.range(len(texts)).selectExpr("id as doc_id", "int(id % 20 = 0) as toxic")
+    part = [zlib.crc32(str(i).encode()) % 4 for i in range(len(texts))]
+    counted = [i for i, p in enumerate(part) if p < 2]
+    apart = [i for i, p in enumerate(part) if p == 3]
+    assert sum(i % 20 > 0 for i in counted) > 200_000 and sum(i % 20 > 0 for i in apart) > labelled.SAMPLE
+    n = [Counter(), Counter()]
+    for i in counted:
+        n[i % 20 == 0].update(set(texts[i].split()))
+    total = [sum(x.values()) for x in n]
+    logs = {}
+    for w in n[0] | n[1]:
+        p = []
+        for c in (0, 1):
+            e = (n[0][w] + n[1][w]) * total[c] / sum(total)
+            p.append(max(e + math.copysign(max(abs(n[c][w] - e) - 3 * math.sqrt(e + 1), 0), n[c][w] - e), 1e-3) / total[c])
+        logs[w.encode()] = math.log(p[1] / p[0])
+    model = toxicity.fit(rows, labels)
+    assert b"fool" in model.logs and all(abs(model.logs.get(w, 0.0) - x) < 1e-9 for w, x in logs.items())
+    plain = toxicity.Model(model.logs)
+    toxicity.calibrate(plain, np.array([model.ratio(texts[i]) for i in apart]), np.array([int(i % 20 == 0) for i in apart]))
+    assert np.allclose((plain.slope, plain.offset), (model.slope, model.offset), rtol=1e-7)
+
+
+def test_toxicity_s_cut_is_the_same_from_a_table(spark):
+    rnd = np.random.default_rng(7)
+    mixed = rnd.integers(-9, 9, 60) / 8
+    cases = [(mixed, (mixed + rnd.normal(size=60) > 0).astype(int)), (mixed, (mixed < 0).astype(int)), (mixed, np.ones(60, int)), (mixed, np.zeros(60, int)), (np.zeros(5), np.array([0, 1, 1, 0, 1])), (np.zeros(0), np.zeros(0, int))]
+    for ratios, y in cases:
+        one, other = toxicity.Model({}), toxicity.Model({})
+        toxicity.calibrate(one, ratios, y)
+        toxicity.calibrate_all(other, spark.createDataFrame([(int(c), float(r)) for c, r in zip(y, ratios, strict=True)], "label int, ratio double"))
+        assert np.allclose((one.slope, one.offset), (other.slope, other.offset), rtol=1e-7), (ratios, y)
+
+
 def test_edge_rows(spark):
     long = "word " * 100000
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, "idiot"), (4, "!!!")]
